@@ -136,12 +136,12 @@ def _sketch(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _sets(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in it:
         data, off = K.text_of(b.column(1), lower=True)
-        out: list[bytes] = []
         for lo, hi in K.slices(off):
             g, s = shingles(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
             x = (g >> K.U64(32)).astype(np.uint32)
-            out += [np.unique(x[s[i] : s[i + 1]]).tobytes() for i in range(hi - lo)]
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], names=["k", "x"])
+            sets = [np.unique(x[s[i] : s[i + 1]]).view(np.int32) for i in range(hi - lo)]
+            edge = np.concatenate([[0], np.cumsum([len(v) for v in sets])])
+            yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.ListArray.from_arrays(pa.array(edge, pa.int32()), pa.array(np.concatenate(sets)))], names=["k", "x"])
 
 
 def _estimate(least: float):
@@ -155,20 +155,6 @@ def _estimate(least: float):
     return run
 
 
-def _exact(threshold: float):
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in it:
-            js = []
-            for i in range(b.num_rows):
-                x, y = (np.frombuffer(b.column(c)[i].as_py(), np.uint32) for c in (2, 3))
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                js.append(both / (len(x) + len(y) - both))
-            j = np.array(js)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(j)], names=["a", "b", "j"]).filter(pa.array(j >= threshold))
-
-    return run
-
-
 def near_groups(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """(key, doc_id, root, copy) for each row in a group of two or more, and the sketches; key is a hash of id and text.
 
@@ -199,8 +185,10 @@ def near_groups(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "do
             f"{name}_near",
         )
         ids = near.select(F.explode(F.array("a", "b")).alias("k")).distinct()
-        sets = kept(src.select("k", "text").join(ids, "k", "left_semi").dropDuplicates(["k"]).mapInArrow(_sets, "k long, x binary"), f"{name}_sets")
-        return kept(near.join(sets.select(F.col("k").alias("a"), F.col("x").alias("xa")), "a").join(sets.select(F.col("k").alias("b"), F.col("x").alias("xb")), "b").select("a", "b", "xa", "xb").mapInArrow(_exact(threshold), "a long, b long, j double"), f"{name}_pairs")
+        sets = kept(src.select("k", "text").join(ids, "k", "left_semi").dropDuplicates(["k"]).mapInArrow(_sets, "k long, x array<int>"), f"{name}_sets")
+        pairs = near.join(sets.select(F.col("k").alias("a"), F.col("x").alias("xa")), "a").join(sets.select(F.col("k").alias("b"), F.col("x").alias("xb")), "b")
+        both = F.size(F.array_intersect("xa", "xb"))
+        return kept(pairs.select("a", "b", (both / (F.size("xa") + F.size("xb") - both)).alias("j")).where(F.col("j") >= threshold), f"{name}_pairs")
 
     first = verified(star, "star")
     comp = connected(first.select("a", "b"))
