@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from changeloom.llm import decontaminate, language, neardup, quality, sentencepieces
+from changeloom.llm import decontaminate, language, neardup, quality, sentencepieces, toxicity
 from changeloom.llm.common import table
 
 
@@ -23,6 +23,11 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepieces.encode(table(spark, sf_dir, "documents"))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return language.identify(docs, language.fit(docs))
@@ -33,7 +38,7 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontaminate, op2_quality, op3_sentencepiece, op7_language, op10_near_duplicates)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_quality, op3_sentencepiece, op4_toxicity, op7_language, op10_near_duplicates)}
 
 
 def oracle_sql() -> dict[str, str]:
