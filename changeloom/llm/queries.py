@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from changeloom.llm import decontaminate, language, neardup, quality, sentencepieces, toxicity
-from changeloom.llm.common import table
+from changeloom.llm import bundles, decontaminate, language, mtree, neardup, quality, sentencepieces, sharding, tokencounts, toxicity
+from changeloom.llm.common import table, work_dir
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,18 +29,61 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_documents(table(spark, sf_dir, "documents"))
+
+
+def op6_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distances to 4 places, so that both engines round alike."""
+    return mtree.top_k(table(spark, sf_dir, "embeddings")).withColumn("distance", F.round("distance", 4))
+
+
+OP6_SQL = """
+SELECT vec_id, CAST(rank AS INTEGER) AS rank, neighbor_id, round(distance, 4) AS distance
+FROM (
+    SELECT vec_id, neighbor_id, distance, row_number() OVER (PARTITION BY vec_id ORDER BY distance, neighbor_id) AS rank
+    FROM (
+        SELECT a.vec_id, b.vec_id AS neighbor_id, list_distance(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS distance
+        FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id
+    )
+)
+WHERE rank <= 10
+"""
+
+
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return language.identify(docs, language.fit(docs))
 
 
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Loads all documents, takes those labelled as bad out again, cuts the toxic ones' texts to empty ones, and sends the load a second time."""
+    docs = table(spark, sf_dir, "documents")
+    labels = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
+    bad = docs.join(labels.where("quality = 0"), "doc_id", "left_semi")
+    toxic = docs.join(labels.where("quality = 1 and toxic = 1"), "doc_id", "left_semi").withColumn("none", F.lit(""))
+    ledger = tokencounts.Ledger(spark, work_dir(spark, "tokens"))
+    ledger.commit("load", tokencounts.inserts(docs))
+    ledger.commit("drop-bad", tokencounts.deletes(bad))
+    ledger.commit("redact-toxic", tokencounts.revisions(toxic, "none"))
+    ledger.commit("load", tokencounts.inserts(docs))  # a retry: nothing changes
+    return ledger.totals()
+
+
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The index of all pages' records; each record is read back from its bundle."""
+    base = work_dir(spark, "warc")
+    bundles.bundle(table(spark, sf_dir, "pages"), f"{base}/bundles").write.parquet(f"{base}/index")
+    return bundles.fetch(spark.read.parquet(f"{base}/index")).withColumn("bundle", F.substring_index("bundle", "/", -1)).drop("url", "html")
+
+
 def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontaminate, op2_quality, op3_sentencepiece, op4_toxicity, op7_language, op10_near_duplicates)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_quality, op3_sentencepiece, op4_toxicity, op5_sharding, op6_top_k, op7_language, op8_token_counts, op9_warc, op10_near_duplicates)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_top_k": OP6_SQL}
