@@ -28,6 +28,8 @@ BANDS, ROWS = 32, 4
 M, BASE, RATE, TOP = BANDS * ROWS, 1.001, 20.0, 65535
 #: A pair is verified if its estimate is at most this much under the threshold: over 3 standard errors.
 SLACK = 0.15
+#: Size of the bitmap of candidates that is sent to the executors, 8 MB.
+FILTER_BITS = 1 << 26
 
 _rng = np.random.default_rng(2021)
 _A = _rng.integers(0, 1 << 32, M, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
@@ -133,15 +135,37 @@ def _sketch(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def _sets(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in it:
-        data, off = K.text_of(b.column(1), lower=True)
-        for lo, hi in K.slices(off):
-            g, s = shingles(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
-            x = (g >> K.U64(32)).astype(np.uint32)
-            sets = [np.unique(x[s[i] : s[i + 1]]).view(np.int32) for i in range(hi - lo)]
-            edge = np.concatenate([[0], np.cumsum([len(v) for v in sets])])
-            yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.ListArray.from_arrays(pa.array(edge, pa.int32()), pa.array(np.concatenate(sets)))], names=["k", "x"])
+def _sets(words: np.ndarray):
+    """(k, text) to (k, x) for the rows whose key's bit is set: x has the distinct shingles."""
+    shared = words.tobytes()
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.frombuffer(shared, np.uint64)
+        for b in it:
+            at = _bit(b.column(0).to_numpy())
+            b = b.filter(pa.array((bits[at >> K.U64(6)] >> (at & K.U64(63))) & K.U64(1) == 1))
+            data, off = K.text_of(b.column(1), lower=True)
+            for lo, hi in K.slices(off):
+                g, s = shingles(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
+                x = (g >> K.U64(32)).astype(np.uint32)
+                sets = [np.unique(x[s[i] : s[i + 1]]).view(np.int32) for i in range(hi - lo)]
+                edge = np.concatenate([[0], np.cumsum([len(v) for v in sets])])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.ListArray.from_arrays(pa.array(edge, pa.int32()), pa.array(np.concatenate(sets)))], names=["k", "x"])
+
+    return run
+
+
+def _bit(k: np.ndarray) -> np.ndarray:
+    return k.view(np.uint64) & K.U64(FILTER_BITS - 1)
+
+
+def _filter_of(ids: DataFrame) -> np.ndarray:
+    """A bitmap of keys, FILTER_BITS long however many there are: fuller ones let more rows pass, never fewer."""
+    at = F.col("k").bitwiseAND(F.lit(FILTER_BITS - 1))
+    got = ids.groupBy(F.shiftright(at, 6).alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(k & 63 as int)))").alias("v")).toArrow()
+    out = np.zeros(FILTER_BITS >> 6, np.uint64)
+    out[got["w"].to_numpy()] = got["v"].to_numpy().view(np.uint64)
+    return out
 
 
 def _estimate(least: float):
@@ -184,8 +208,9 @@ def near_groups(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "do
             pairs.join(regs.select(F.col("k").alias("a"), F.col("regs").alias("ra")), "a").join(regs.select(F.col("k").alias("b"), F.col("regs").alias("rb")), "b").select("a", "b", "ra", "rb").mapInArrow(_estimate(threshold - SLACK), "a long, b long"),
             f"{name}_near",
         )
-        ids = near.select(F.explode(F.array("a", "b")).alias("k")).distinct()
-        sets = kept(src.select("k", "text").join(ids, "k", "left_semi").dropDuplicates(["k"]).mapInArrow(_sets, "k long, x array<int>"), f"{name}_sets")
+        # The candidates' sets are made where their texts are; the corpus isn't shuffled.
+        chosen = _filter_of(near.select(F.explode(F.array("a", "b")).alias("k")))
+        sets = kept(src.select("k", "text").mapInArrow(_sets(chosen), "k long, x array<int>"), f"{name}_sets").groupBy("k").agg(F.first("x").alias("x"))
         pairs = near.join(sets.select(F.col("k").alias("a"), F.col("x").alias("xa")), "a").join(sets.select(F.col("k").alias("b"), F.col("x").alias("xb")), "b")
         both = F.size(F.array_intersect("xa", "xb"))
         return kept(pairs.select("a", "b", (both / (F.size("xa") + F.size("xb") - both)).alias("j")).where(F.col("j") >= threshold), f"{name}_pairs")
