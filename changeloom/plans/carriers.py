@@ -169,7 +169,7 @@ def json_props(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _t(spark, sf_dir, "events").groupBy(k.alias("k")).agg(F.count("*").alias("n"), F.min("event_id").alias("first_event"))
 
 
-@query(f"WITH l AS ({LINES}), m AS (SELECT doc_id, min(line_no) AS pos, (SELECT max(line_no) FROM l x WHERE x.doc_id = l.doc_id) AS last FROM l WHERE line_no <= 30 AND regexp_matches(line, '(?i){MARKER}') GROUP BY doc_id) SELECT l.doc_id, string_agg((CASE WHEN line_no = pos THEN '> ' ELSE '  ' END) || lpad(CAST(line_no AS VARCHAR), length(CAST(least(pos + 2, last) AS VARCHAR)), ' ') || ' | ' || line, chr(10) ORDER BY line_no) AS preview FROM l JOIN m ON l.doc_id = m.doc_id AND line_no BETWEEN pos - 2 AND pos + 2 GROUP BY l.doc_id")
+@query(f"WITH l AS ({LINES}), m AS (SELECT doc_id, min(line_no) AS pos, (SELECT max(line_no) FROM l x WHERE x.doc_id = l.doc_id) AS last FROM l WHERE line_no <= 30 AND regexp_matches(line, '(?i){MARKER}') GROUP BY doc_id) SELECT l.doc_id, string_agg((CASE WHEN line_no = pos THEN '> ' ELSE '  ' END) || lpad(CAST(line_no AS VARCHAR), CAST(length(CAST(least(pos + 2, last) AS VARCHAR)) AS INTEGER), ' ') || ' | ' || line, chr(10) ORDER BY line_no) AS preview FROM l JOIN m ON l.doc_id = m.doc_id AND line_no BETWEEN pos - 2 AND pos + 2 GROUP BY l.doc_id")
 def context_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two lines around the first marker, numbered and marked: within the row, without a join on lines."""
     from changeloom.operators.report import preview
