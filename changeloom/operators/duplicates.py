@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from changeloom.functions import paths as P
+from changeloom.functions import text as X
+from changeloom.operators.scope import finding
+
 
 def line_windows(df: DataFrame, key: str, lines_col: str, n: int) -> DataFrame:
     """(key, idx, h1, h2) for each n consecutive lines. Windows are cut within the row, so nothing is shuffled, and
@@ -29,3 +34,76 @@ def runs(pairs: DataFrame, n: int) -> DataFrame:
     w = Window.partitionBy("doc_a", "doc_b", "d").orderBy("idx_a")
     g = pairs.withColumn("d", diagonal).withColumn("isle", F.col("idx_a") - F.row_number().over(w))
     return g.groupBy("doc_a", "doc_b", "d", "isle").agg(F.min("idx_a").alias("start_a"), F.min("idx_b").alias("start_b"), (F.count("*") + n - 1).cast("int").alias("n_lines")).drop("d", "isle")
+
+
+_TRIVIAL = "grid|grid.rowdefinitions|grid.columndefinitions|rowdefinition|columndefinition".split("|")
+
+
+def normal_lines(lines: Column, path: Column) -> Column:
+    """(n, s, solid) of the lines that count: comments stripped across lines, white space collapsed, lone braces, short lines,
+    usings, namespaces, directives and attributes left out. solid: a markup line that is more than a trivial element."""
+    # Blank lines keep the numbers: a block comment becomes its own line ends.
+    code = F.array_join(lines, "\n")
+    # Block comments and line comments in one pass, whichever starts first; a // inside a string counts as a comment.
+    marked = F.regexp_replace(code, r"(?s)//[^\n]*|/\*.*?(\*/|\z)", "\u0001$0\u0002")
+    parts = F.split(marked, "\u0001")
+    kept = F.array_join(F.transform(parts, lambda x, i: F.when((i == 0) | (F.instr(x, "\u0002") == 0), x).otherwise(F.concat(F.regexp_replace(F.substring_index(x, "\u0002", 1), r"[^\n]", ""), F.substring_index(x, "\u0002", -1)))), "")
+    rows = F.transform(F.split(kept, "\n", -1), lambda s, i: F.struct((i + 1).alias("n"), X.collapse(s).alias("s")))
+    some = F.filter(rows, lambda r: (F.length(r["s"]) >= 2) & (r["s"] != "};") & ~r["s"].rlike(r"^(using |namespace |#|\[)"))
+    element = lambda s: F.lower(F.regexp_extract(s, r"^</?([^\s>/]+)", 1))
+    solid = lambda s: ~element(s).isin(_TRIVIAL) & (s.contains("=") | s.contains("{") | (s.contains(">") & s.contains("</")))
+    return F.transform(some, lambda r: F.struct(r["n"], r["s"], (~P.is_markup(path) | solid(r["s"])).alias("solid")))
+
+
+def code_windows(files: DataFrame, only_scope: bool, size: int = 6) -> DataFrame:
+    """(repo_id, path, idx, first, last, all_added, h1, h2) of each window of `size` counted lines, cut within the file's row."""
+    src = files.where(P.is_duplicate_checked(F.col("path")) & ~P.is_test(F.col("path"))).withColumn("ls", normal_lines(F.col("lines"), F.col("path")))
+    at = F.sequence(F.lit(0), F.size("ls") - size)
+    w = src.where(F.size("ls") >= size).select("repo_id", "path", "scope_lines", F.posexplode(F.transform(at, lambda i: F.slice("ls", i + 1, size))).alias("idx", "w"))
+    w = w.where(F.size(F.filter("w", lambda r: r["solid"])) >= F.when(P.is_markup(F.col("path")), 2).otherwise(0))
+    added = F.forall("w", lambda r: F.array_contains("scope_lines", r["n"]))
+    text = F.array_join(F.transform("w", lambda r: r["s"]), "\n")
+    w = w.where(added) if only_scope else w
+    return w.select("repo_id", "path", "idx", F.element_at("w", 1)["n"].alias("first"), F.element_at("w", -1)["n"].alias("last"), added.alias("all_added"), F.xxhash64(text).alias("h1"), F.xxhash64(F.concat(F.lit("#"), text), F.lit(17)).alias("h2"))
+
+
+def duplicate_blocks(files: DataFrame, repository: DataFrame | None, size: int = 6) -> DataFrame:
+    """Added blocks that equal one elsewhere in the repository: (repo_id, path, f).
+
+    The distributed join leaves only equal windows; what is left of a source file is then consumed greedily from its top: a window's first match in
+    path order is followed along its diagonal, and the windows on the way are spent.
+    """
+    mine = code_windows(files, True, size).alias("m")
+    rest = code_windows(files, False, size)
+    if repository is not None:
+        changed = files.select("repo_id", P.key(F.col("path")).alias("k")).distinct()
+        others = repository.withColumn("k", P.key(F.col("path"))).join(changed, ["repo_id", "k"], "left_anti").drop("k")
+        rest = rest.unionByName(code_windows(others, False, size))
+    t = rest.alias("t")
+    same = F.lower("m.path") == F.lower("t.path")
+    pairs = mine.join(t, ["repo_id", "h1", "h2"]).where(~(same & ((F.col("m.first") == F.col("t.first")) | F.col("t.all_added"))))
+    rows = pairs.select("repo_id", F.col("m.path").alias("path"), F.col("m.idx").alias("i"), F.col("m.first").alias("line"), F.col("t.path").alias("other"), F.col("t.idx").alias("j"), F.col("t.first").alias("other_line"))
+
+    def consume(pdf: pd.DataFrame) -> pd.DataFrame:
+        by: dict[int, list[tuple[str, int, int, str]]] = {}
+        lines = {}
+        for i, line, other, j, other_line in zip(pdf["i"], pdf["line"], pdf["other"], pdf["j"], pdf["other_line"], strict=True):
+            by.setdefault(int(i), []).append((other.upper(), int(j), int(other_line), other))
+            lines[int(i)] = int(line)
+        known = {(i, o[0], o[1]) for i, os in by.items() for o in os}
+        spent, out = set(), []
+        for i in sorted(by):
+            if i in spent:
+                continue
+            up, j, other_line, other = min(by[i])
+            n = 1
+            spent.add(i)
+            while (i + n, up, j + n) in known:
+                spent.add(i + n)
+                n += 1
+            out.append((pdf["repo_id"].iloc[0], pdf["path"].iloc[0], lines[i], size + n - 1, other, other_line))
+        return pd.DataFrame(out, columns=["repo_id", "path", "line", "n", "other", "other_line"])
+
+    found = rows.groupBy("repo_id", "path").applyInPandas(consume, "repo_id string, path string, line int, n int, other string, other_line int")
+    message = F.concat(F.lit("Added code block duplicates "), F.col("n").cast("string"), F.lit(" line(s) of `"), F.col("other"), F.lit(":"), F.col("other_line").cast("string"), F.lit("`."))
+    return found.select("repo_id", "path", finding("duplicate-code-block", "Suggestion", F.col("line"), message).alias("f"))

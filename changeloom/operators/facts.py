@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from changeloom.functions import paths as P
-from changeloom.operators import csharp
+from changeloom.operators import csharp, guards
 
 CATCH = "array<struct<start_line:int,end_line:int,body:string,has_comments:boolean,variable:string,type:string>>"
 ENTRY = "array<struct<key:string,value:string,line:int>>"
@@ -172,14 +172,15 @@ def untyped_bindings(text: str) -> list[dict] | None:
 
 
 SPANS = "array<struct<first:int,last:int>>"
+GUARDS = "array<struct<line:int,method:string,parameter:string>>"
 
 
 def with_facts(files: DataFrame) -> DataFrame:
-    """files with catches, entries, elements, bindings, candidates (null where they don't apply or don't parse) and error.
+    """files with catches, entries, elements, bindings, guards, candidates (null where they don't apply or don't parse) and error.
 
     Names that files has already are taken as new ones: the facts replace them.
     """
-    names = ("catches", "entries", "elements", "bindings", "candidates", "error")
+    names = ("catches", "entries", "elements", "bindings", "guards", "candidates", "error")
     src = files.drop(*names)
     kinds = src.withColumns({"_markup": P.is_markup(F.col("path")), "_resx": P.is_resx(F.col("path")), "_cs": F.col("path").rlike(r"(?i)\.cs$")})
 
@@ -196,6 +197,7 @@ def with_facts(files: DataFrame) -> DataFrame:
                     if markup:
                         row["elements"], row["bindings"] = markup_elements(text), untyped_bindings(text)
                     if cs:
+                        row["guards"] = guards.unguarded(text.split("\n"))
                         row["candidates"] = csharp.candidates(text)
                 except Exception as e:  # one file must not fail the scan
                     row["error"] = f"{type(e).__name__}: {e}"[:300]
@@ -203,4 +205,4 @@ def with_facts(files: DataFrame) -> DataFrame:
             yield pdf.drop(columns=["_markup", "_resx", "_cs"]).assign(**{n: [r[n] for r in rows] for n in names})
 
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields)
-    return kinds.mapInPandas(run, f"{ddl}, catches {CATCH}, entries {ENTRY}, elements {ELEMENT}, bindings {SPANS}, candidates {CANDIDATE}, error string")
+    return kinds.mapInPandas(run, f"{ddl}, catches {CATCH}, entries {ENTRY}, elements {ELEMENT}, bindings {SPANS}, guards {GUARDS}, candidates {CANDIDATE}, error string")
