@@ -27,3 +27,88 @@ def numbered(df: DataFrame, order: list, name: str) -> DataFrame:
     before = ranged.groupBy("_range").agg(F.count("*").alias("_n"))
     before = before.select("_range", (F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")).alias("_before"))
     return ranged.join(F.broadcast(before), "_range").withColumn(name, F.col("_before") + F.col("_local") + 1).drop("_range", "_local", "_before")
+
+
+def categorised(findings: DataFrame) -> DataFrame:
+    """Findings but for those of severity Ok, with category, category_rank, location and include flag."""
+    from changeloom import model
+
+    name = model.category(F.col("rule_id"))
+    place = F.when(F.trim(F.coalesce("file_path", F.lit(""))) == "", "(no file)").when(F.col("line_number") > 0, F.concat("file_path", F.lit(":"), F.col("line_number").cast("string"))).otherwise(F.col("file_path"))
+    df = findings.where("severity is not null and severity != 'Ok'").withColumns({"category": name, "category_rank": model.category_rank(name), "location": place})
+    return df if "is_included" in df.columns else df.withColumn("is_included", F.lit(True))
+
+
+def ordered(rows: DataFrame) -> DataFrame:
+    """Report order: category, rule, path in any case, line; a missing line comes last."""
+    return rows.orderBy("category_rank", F.upper("rule_id"), F.upper("file_path"), F.col("line_number").asc_nulls_last(), "message")
+
+
+def visible(rows: DataFrame, categories: list[str]) -> DataFrame:
+    return rows.where(F.lower("category").isin(*(c.lower() for c in categories)))
+
+
+def category_counts(rows: DataFrame) -> DataFrame:
+    """(category, n, share, colour), the largest first; share in degrees of a circle."""
+    from pyspark.sql import Window
+
+    from changeloom import model
+
+    g = rows.groupBy("category", "category_rank").agg(F.count("*").alias("n"))
+    share = F.col("n") * 360.0 / F.sum("n").over(Window.partitionBy())
+    return g.select("category", "n", share.alias("share"), model.category_colour(F.col("category")).alias("colour"), "category_rank").orderBy(F.desc("n"), "category_rank", "category").drop("category_rank")
+
+
+def rule_counts(findings: DataFrame, catalog: DataFrame, failed: DataFrame | None = None) -> DataFrame:
+    """(rule_id, n) of every rule of the catalogue, 0 for those without a finding; rules that failed (rule_id) are left out."""
+    n = findings.groupBy("rule_id").agg(F.count("*").alias("n"))
+    out = catalog.select("rule_id").join(n, "rule_id", "left").select("rule_id", F.coalesce("n", F.lit(0)).alias("n"))
+    return out if failed is None else out.join(failed, "rule_id", "left_anti")
+
+
+def summary(rows: DataFrame, shown: DataFrame) -> DataFrame:
+    """One row: n_rows, n_files (in any case, blanks not counted), hidden, any_included."""
+    files = F.count_distinct(F.when(F.trim("file_path") != "", F.upper("file_path")))
+    a = shown.agg(F.count("*").alias("n_rows"), files.alias("n_files"), F.coalesce(F.bool_or("is_included"), F.lit(False)).alias("any_included"))
+    return a.crossJoin(rows.agg(F.count("*").alias("total"))).select("n_rows", "n_files", (F.col("total") - F.col("n_rows")).alias("hidden"), "any_included")
+
+
+def include_rule(rows: DataFrame, rule_id: str, include: bool) -> DataFrame:
+    return rows.withColumn("is_included", F.when(F.lower("rule_id") == rule_id.lower(), F.lit(include)).otherwise(F.col("is_included")))
+
+
+def toggle_all(rows: DataFrame) -> DataFrame:
+    """All rows take the flag that at most half of them have now."""
+    flag = rows.agg((F.count_if("is_included") <= F.count_if(~F.col("is_included"))).alias("_flag"))
+    return rows.drop("is_included").crossJoin(F.broadcast(flag)).withColumnRenamed("_flag", "is_included")
+
+
+def nearest(rows: DataFrame, path: str, line: int) -> DataFrame:
+    """The row of a file whose line is nearest: where a selection goes after a new scan."""
+    return rows.where(F.upper("file_path") == path.upper()).orderBy(F.abs(F.col("line_number") - line), "line_number").limit(1)
+
+
+def export(rows: DataFrame) -> DataFrame:
+    """(position, line): the text export of the included rows, one entry for each, after a heading at position 0."""
+    kept = rows.where("is_included").withColumns({"_r": F.upper("rule_id"), "_p": F.upper("file_path"), "_l": F.coalesce("line_number", F.lit(2**31 - 1))})
+    n = numbered(kept, ["category_rank", "_r", "_p", "_l", "message"], "position")
+    body = n.select("position", F.concat(F.col("position").cast("string"), F.lit(". ["), "category", F.lit("] "), "location", F.lit("\n   "), F.trim(F.coalesce("message", F.lit(""))), F.lit("\n")).alias("line"))
+    head = kept.agg(F.count("*").alias("n")).where("n > 0").select(F.lit(0).cast("long").alias("position"), F.concat(F.lit("Findings\nScope: included\nCount: "), F.col("n").cast("string"), F.lit("\n")).alias("line"))
+    return head.unionByName(body)
+
+
+def with_preview(rows: DataFrame, files: DataFrame, around: int = 3) -> DataFrame:
+    """Adds the lines around each finding, marked and numbered."""
+    src = files.select("repo_id", F.col("path").alias("file_path"), F.col("lines").alias("_lines"))
+    return rows.join(src, ["repo_id", "file_path"], "left").withColumn("preview", preview(F.col("_lines"), F.col("line_number"), around)).drop("_lines")
+
+
+def fix_prompt(rows: DataFrame) -> DataFrame:
+    """Adds `prompt`: what a person or a tool is asked to mend, with the lines around it (after with_preview)."""
+    return rows.withColumn("prompt", F.concat_ws("\n", F.concat(F.lit("Please fix this finding in "), "location", F.lit(":")), "message", F.lit(""), F.col("preview")))
+
+
+def log_colour(message: Column) -> Column:
+    """Severity of a log line by its first marker in order of weight."""
+    up = F.upper(message)
+    return F.when(up.contains("ERROR"), "error").when(up.contains("PASS"), "pass").when(up.contains("WARNING"), "warning").when(up.contains("HINT"), "hint").otherwise("info")
