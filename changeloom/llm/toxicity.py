@@ -22,12 +22,14 @@ from changeloom.llm import kernels as K
 from changeloom.llm.common import bounded_sample
 
 BITS = 20
+#: Words of a chain at most: a longer sentence is several chains.
+CHAIN = 100
 PREFIXES, SUFFIXES = (3, 4, 5, 6, 8), (3,)
 #: Labelled documents of each label that the fit looks at, at most (in expectation).
 TRAIN_ROWS = 2500
 THRESHOLD = 0.9
 #: Clean sentences of each labelled document that the fit looks at, besides two for each toxic one.
-CLEAN_SENTENCES = 15
+CLEAN_SENTENCES = 10
 SCHEMA = "doc_id long, score double, toxic boolean, starts array<int>, ends array<int>, marginals array<float>"
 
 
@@ -43,7 +45,7 @@ class Tokens:
 
 
 def tokens(data: np.ndarray, off: np.ndarray) -> tuple[Tokens, np.ndarray]:
-    """Tokens, and the lower-cased bytes that they are spans of. Sentences end at . ! ? and line ends, and with the row."""
+    """Tokens, and the lower-cased bytes that they are spans of. Sentences end at . ! ? and line ends, with the row, and after CHAIN words."""
     low = K.lower_same_length(data)
     r = K.Runs(low, off, words_only=True)
     stop = np.zeros(len(low) + 1, np.int64)
@@ -51,7 +53,9 @@ def tokens(data: np.ndarray, off: np.ndarray) -> tuple[Tokens, np.ndarray]:
     s = stop[r.start]
     new = np.ones(len(s), bool)
     new[1:] = (s[1:] != s[:-1]) | (r.row[1:] != r.row[:-1])
-    return Tokens(r.hash, r.start, r.end, r.row, np.cumsum(new) - 1), low
+    head = np.flatnonzero(new)
+    within = np.arange(len(s)) - np.repeat(head, np.diff(np.append(head, len(s))))
+    return Tokens(r.hash, r.start, r.end, r.row, np.cumsum(within % CHAIN == 0) - 1), low
 
 
 def affixes(t: Tokens, low: np.ndarray) -> dict[str, np.ndarray]:
@@ -225,7 +229,7 @@ def label_tokens(rows: list[tuple[np.ndarray, int]], level: float = 0.01) -> lis
     return [marked[x].any(1) & bool(y) for x, (_, y) in zip(dense, rows, strict=True)]
 
 
-def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, epochs: int = 60, l2: float = 1.0, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
+def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, epochs: int = 40, l2: float = 1.0, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
     """Fits on about `rows` labelled documents of each label at most, chosen by a hash of the id; their whole texts are read.
 
     Null labels, and labels without a document or text, aren't used. Without toxic documents the model calls nothing toxic.
@@ -285,7 +289,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, epochs: int
     return train(np.concatenate(xs), np.concatenate(cs), np.concatenate(ss), np.concatenate(ys), epochs, l2)
 
 
-def train(x: np.ndarray, c: np.ndarray, sentence: np.ndarray, y: np.ndarray, epochs: int = 60, l2: float = 1.0, rate: float = 0.2) -> Model:
+def train(x: np.ndarray, c: np.ndarray, sentence: np.ndarray, y: np.ndarray, epochs: int = 40, l2: float = 1.0, rate: float = 0.2) -> Model:
     """Maximises the penalised conditional log-likelihood by full-batch AdaGrad; gradients are expected minus seen counts."""
     fx, x = np.unique(x, return_inverse=True)
     fc, c = np.unique(c, return_inverse=True)
