@@ -26,7 +26,7 @@ BITS = 20
 CHAIN = 100
 PREFIXES, SUFFIXES = (3, 4, 5, 6, 8), (3,)
 #: Labelled documents of each label that the fit looks at, at most (in expectation).
-TRAIN_ROWS = 2500
+TRAIN_ROWS = 1200
 THRESHOLD = 0.9
 #: Clean sentences of each labelled document that the fit looks at, besides two for each toxic one.
 CLEAN_SENTENCES = 10
@@ -214,19 +214,19 @@ def label_tokens(rows: list[tuple[np.ndarray, int]], level: float = 0.01) -> lis
     allows, and in at most 1 clean row for 20 toxic ones. Chance: with the toxic rows' share q, a feature of k rows is in t toxic
     ones with probability at most exp(-k KL(t / k, q)); that has to be under `level` divided by the number of features.
     """
-    feats, flat = np.unique(np.concatenate([x.ravel() for x, _ in rows]), return_inverse=True)
-    edge = np.cumsum([0, *(x.size for x, _ in rows)])
-    dense = [flat[a:b].reshape(x.shape) for (x, _), a, b in zip(rows, edge[:-1], edge[1:], strict=True)]
+    each = [np.unique(x) for x, _ in rows]
+    feats = np.unique(np.concatenate(each))
     pos, neg = np.zeros(len(feats)), np.zeros(len(feats))
-    for x, (_, y) in zip(dense, rows, strict=True):
-        (pos if y else neg)[np.unique(x)] += 1
+    for u, (_, y) in zip(each, rows, strict=True):
+        (pos if y else neg)[np.searchsorted(feats, u)] += 1
     q = sum(1 for r in rows if r[1]) / len(rows)
     k = np.maximum(1, pos + neg)
     a = pos / k
     with np.errstate(divide="ignore", invalid="ignore"):
         kl = np.where(a > 0, a * np.log(a / q), 0) + np.where(a < 1, (1 - a) * np.log((1 - a) / (1 - q)), 0)
     marked = (a > max(q, 0.95)) & (k * kl > np.log((pos + neg > 0).sum() / level)) if 0 < q < 1 else np.zeros(len(k), bool)
-    return [marked[x].any(1) & bool(y) for x, (_, y) in zip(dense, rows, strict=True)]
+    hot = feats[marked]
+    return [np.isin(x, hot).any(1) if y else np.zeros(len(x), bool) for x, y in rows]
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, epochs: int = 40, l2: float = 1.0, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
