@@ -57,16 +57,19 @@ def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Loads all documents, takes those labelled as bad out again, cuts the toxic ones' texts to empty ones, and sends the load a second time."""
-    docs = table(spark, sf_dir, "documents")
+    """Loads all documents, takes those labelled as bad out again, counts the toxic ones as emptied, and sends the load a second time."""
+    base = work_dir(spark, "tokens")
+    tokencounts.count_tokens(table(spark, sf_dir, "documents")).write.parquet(f"{base}/counted")
+    counted = spark.read.parquet(f"{base}/counted")  # ids and counts; the texts are read once
     labels = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
-    bad = docs.join(labels.where("quality = 0"), "doc_id", "left_semi")
-    toxic = docs.join(labels.where("quality = 1 and toxic = 1"), "doc_id", "left_semi").withColumn("none", F.lit(""))
-    ledger = tokencounts.Ledger(spark, work_dir(spark, "tokens"))
-    ledger.commit("load", tokencounts.inserts(docs))
+    bad = counted.join(labels.where("quality = 0"), "doc_id", "left_semi")
+    toxic = counted.join(labels.where("quality = 1 and toxic = 1"), "doc_id", "left_semi")
+    none = F.transform("side.counts", lambda c: F.struct(c["tokenizer"].alias("tokenizer"), F.lit(0).cast("long").alias("tokens")))
+    ledger = tokencounts.Ledger(spark, f"{base}/ledger")
+    ledger.commit("load", tokencounts.inserts(counted))
     ledger.commit("drop-bad", tokencounts.deletes(bad))
-    ledger.commit("redact-toxic", tokencounts.revisions(toxic, "none"))
-    ledger.commit("load", tokencounts.inserts(docs))  # a retry: nothing changes
+    ledger.commit("redact-toxic", tokencounts.revisions(toxic, toxic.withColumn("side", F.col("side").withField("counts", none))))
+    ledger.commit("load", tokencounts.inserts(counted))  # a retry: nothing changes
     return ledger.totals()
 
 

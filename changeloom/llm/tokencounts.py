@@ -68,33 +68,51 @@ class Counter:
         return out
 
 
-def _side(rows: DataFrame, prefix: str, sign: int, tokenizers: dict[str, str]) -> DataFrame:
-    names = list(tokenizers)
+SIDE = "struct<source:string,lang:string,counts:array<struct<tokenizer:string,tokens:bigint>>>"
+
+
+def count_tokens(docs: DataFrame, tokenizers: dict[str, str] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, side) for each document: its source, its language, and its tokens by tokenizer version. A map over whole texts.
+
+    A null or empty text has no tokens. Null sources and languages stay null. Repeated rows are counted each. Other columns are ignored.
+    """
+    names = TOKENIZERS if tokenizers is None else tokenizers
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counters = {n: Counter(p) if p else None for n, p in tokenizers.items()}
+        counters = [Counter(p) if p else None for p in names.values()]
         for b in it:
-            data, off = K.text_of(b.column(2))
-            counts = [c(data, off) if c else np.diff(off) for c in counters.values()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *map(pa.array, counts)], names=["source", "lang", *(f"n{i}" for i in range(len(names)))])
+            data, off = K.text_of(b.column(3))
+            counts = [c(data, off) if c else np.diff(off) for c in counters]
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], *map(pa.array, counts)], names=["doc_id", "source", "lang", *(f"n{i}" for i in range(len(names)))])
+
+    src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col("source").cast("string"), F.col("lang").cast("string"), F.col(text_col).cast("string").alias("text"))
+    counted = src.mapInArrow(run, "doc_id long, source string, lang string, " + ", ".join(f"n{i} long" for i in range(len(names))))
+    each = F.array(*(F.struct(F.lit(n).alias("tokenizer"), F.col(f"n{i}").alias("tokens")) for i, n in enumerate(names)))
+    return counted.select("doc_id", F.struct("source", "lang", each.alias("counts")).alias("side"))
+
+
+def inserts(counted: DataFrame) -> DataFrame:
+    return counted.select(F.lit(None).cast(SIDE).alias("before"), F.col("side").alias("after"))
+
 
-    src = rows.where(F.col(f"has_{prefix}")).select(F.col(f"{prefix}.source").cast("string").alias("source"), F.col(f"{prefix}.lang").cast("string").alias("lang"), F.col(f"{prefix}.text").cast("string").alias("text"))
-    counted = src.mapInArrow(run, "source string, lang string, " + ", ".join(f"n{i} long" for i in range(len(names))))
-    sums = counted.groupBy("source", "lang").agg(F.count("*").alias("docs"), *(F.sum(f"n{i}").alias(f"n{i}") for i in range(len(names))))
-    each = F.explode(F.array(*(F.struct(F.lit(n).alias("tokenizer"), F.col(f"n{i}").alias("tokens")) for i, n in enumerate(names))))
-    return sums.select("source", "lang", "docs", each.alias("t")).select("source", "lang", "t.tokenizer", (sign * F.col("docs")).alias("docs"), (sign * F.col("t.tokens")).alias("tokens"))
+def deletes(counted: DataFrame) -> DataFrame:
+    return counted.select(F.col("side").alias("before"), F.lit(None).cast(SIDE).alias("after"))
 
 
-def deltas(changes: DataFrame, tokenizers: dict[str, str] | None = None) -> DataFrame:
+def revisions(before: DataFrame, after: DataFrame) -> DataFrame:
+    """Changes of the documents that are on both sides, by doc_id; only counts are joined, never texts."""
+    return before.select("doc_id", F.col("side").alias("before")).join(after.select("doc_id", F.col("side").alias("after")), "doc_id").select("before", "after")
+
+
+def deltas(changes: DataFrame) -> DataFrame:
     """What a batch adds to each total: (source, lang, tokenizer, docs, tokens), signed.
 
-    changes: structs before and after of (source, lang, text), null where the document isn't there. Null sources and languages are keys of their
-    own. A null or empty text has no tokens, but counts as a document. A change with neither side adds nothing; repeated changes count each time.
+    changes: sides before and after as in `count_tokens`, null where the document isn't there. Null sources and languages are keys of their
+    own. A change with neither side adds nothing; repeated changes count each time.
     """
-    tokenizers = TOKENIZERS if tokenizers is None else tokenizers
-    rows = changes.select("before", "after", F.col("before").isNotNull().alias("has_before"), F.col("after").isNotNull().alias("has_after"))
-    both = _side(rows, "after", 1, tokenizers).unionByName(_side(rows, "before", -1, tokenizers))
-    return both.groupBy(*KEYS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens"))
+    sides = F.array(F.struct(F.lit(1).cast("long").alias("sign"), F.col("after").alias("s")), F.struct(F.lit(-1).cast("long").alias("sign"), F.col("before").alias("s")))
+    one = changes.select(F.explode(sides).alias("x")).where("x.s is not null").select("x.sign", "x.s.source", "x.s.lang", F.explode("x.s.counts").alias("c"))
+    return one.groupBy("source", "lang", F.col("c.tokenizer").alias("tokenizer")).agg(F.sum("sign").alias("docs"), F.sum(F.col("sign") * F.col("c.tokens")).alias("tokens"))
 
 
 class Ledger:
@@ -119,12 +137,12 @@ class Ledger:
             with_.close()
         return out
 
-    def commit(self, batch: str, changes: DataFrame, tokenizers: dict[str, str] | None = None) -> bool:
+    def commit(self, batch: str, changes: DataFrame) -> bool:
         """Adds the batch unless it was added before; says whether it did."""
         if batch in self.committed():
             return False
         folder = f"deltas/{uuid.uuid4().hex}"
-        deltas(changes, tokenizers).write.parquet(f"{self.path}/{folder}")
+        deltas(changes).write.parquet(f"{self.path}/{folder}")
         try:
             out = self._fs.create(self._path("commits", batch.encode().hex()), False)
         except Exception as e:  # another writer was first
@@ -142,17 +160,3 @@ class Ledger:
             return self.spark.createDataFrame([], DELTA)
         rows = self.spark.read.schema(DELTA).parquet(*(f"{self.path}/{f}" for f in folders))
         return rows.groupBy(*KEYS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens")).where("docs != 0 or tokens != 0")
-
-
-def inserts(docs: DataFrame) -> DataFrame:
-    side = F.struct("source", "lang", "text")
-    return docs.select(F.lit(None).cast("struct<source:string,lang:string,text:string>").alias("before"), side.alias("after"))
-
-
-def deletes(docs: DataFrame) -> DataFrame:
-    return inserts(docs).select(F.col("after").alias("before"), F.col("before").alias("after"))
-
-
-def revisions(docs: DataFrame, text: str) -> DataFrame:
-    """Changes of the text to the one in column `text`."""
-    return docs.select(F.struct("source", "lang", "text").alias("before"), F.struct("source", "lang", F.col(text).alias("text")).alias("after"))
