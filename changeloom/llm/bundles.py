@@ -161,7 +161,7 @@ def bundle(pages: DataFrame, out_dir: str, frame: int = FRAME, bundle_bytes: int
             )
 
     key = F.pmod(F.xxhash64("page_id", "url"), F.lit(n)).cast("int")
-    parted = src.select(key.alias("k"), "page_id", "url", "html").repartition(n, "k").sortWithinPartitions("k", "page_id", "url", F.xxhash64("html"))
+    parted = src.select(key.alias("k"), "page_id", "url", "html").repartitionById(n, F.col("k")).sortWithinPartitions("k", "page_id", "url", F.xxhash64("html"))
     return parted.mapInArrow(write, INDEX)
 
 
