@@ -55,11 +55,16 @@ def _words(m: Column) -> Column:
     return F.array_join(F.slice(F.array_distinct(F.transform(m, lambda x: x["word"])), 1, 4), ", ")
 
 
+def prepared() -> dict[str, Column]:
+    """Columns that the dialect rules read several times each."""
+    return {"american": _matches(tuple(a for a, _ in PAIRS)), "british": _matches(tuple(b for _, b in PAIRS)), "culture": F.lower(locale(F.col("path")))}
+
+
 def dialects() -> Column:
-    american, british = _matches(tuple(a for a, _ in PAIRS)), _matches(tuple(b for _, b in PAIRS))
+    american, british = F.col("american"), F.col("british")
     place = lambda m: F.array_min(F.transform(m, lambda x: x["line"]))
     path = F.col("path")
-    culture = F.lower(locale(path))
+    culture = F.col("culture")
     both = F.concat(american, british)
     mixed = one(P.is_resx(path) & (culture == "") & (F.size(american) >= 2) & (F.size(british) >= 2), finding("resx-mixed-english-dialect", "Suggestion", place(both), F.concat(F.lit("Mixed American and British English: "), _words(both), F.lit("."))))
     gb = one((culture == "en-gb") & (F.size(american) >= 2), finding("resx-american-english-in-british-locale", "Suggestion", place(american), F.concat(F.lit("American English in a British locale: "), _words(american), F.lit("."))))

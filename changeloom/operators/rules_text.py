@@ -22,7 +22,7 @@ def _catches() -> Column:
 
 
 def empty_catch() -> Column:
-    blank = F.filter(_catches(), lambda c: X.is_blank(c["body"]))
+    blank = F.filter("touched_catches", lambda c: X.is_blank(c["body"]))
     return F.transform(blank, lambda c: finding("empty-catch", F.when(c["has_comments"], "Suggestion").otherwise("Important"), c["start_line"], "Empty catch block."))
 
 
@@ -46,7 +46,7 @@ def swallowing_catch() -> Column:
             severity, message = F.when(cond, s).otherwise(severity), F.when(cond, m).otherwise(message)
         return finding("swallowing-catch", severity, c["start_line"], message)
 
-    return F.transform(F.filter(_catches(), swallows), classify)
+    return F.transform(F.filter("touched_catches", swallows), classify)
 
 
 def _in_scope_lines() -> Column:
@@ -71,8 +71,7 @@ def lock_target() -> Column:
 
 def blank_between_braces() -> Column:
     """Pairs of neighbouring non-blank lines that are the same lone brace, with blank lines between them."""
-    numbered = F.transform("lines", lambda s, i: F.struct((i + 1).alias("n"), X.trim(s).alias("s")))
-    solid = F.filter(numbered, lambda x: x["s"] != "")
+    solid = F.col("solid_lines")
     pairs = F.transform(F.sequence(F.lit(1), F.greatest(F.size(solid) - 1, F.lit(1))), lambda i: F.struct(F.get(solid, i - 1).alias("a"), F.get(solid, i).alias("b")))
     gap = F.filter(pairs, lambda p: p["b"].isNotNull() & (p["a"]["s"] == p["b"]["s"]) & p["a"]["s"].isin("{", "}") & (p["b"]["n"] - p["a"]["n"] > 1) & F.exists("scope_lines", lambda x: x.between(p["a"]["n"] + 1, p["b"]["n"])))
     return F.transform(gap, lambda p: finding("blank-line-between-brace-pairs", "Hint", p["a"]["n"] + 1, "Blank line between two braces."))
@@ -89,8 +88,19 @@ def _declared(text: Column) -> tuple[Column, Column, Column]:
     return F.regexp_extract(text, _TYPE, 1), F.regexp_extract(text, _TYPE, 2), at.cast("int")
 
 
-def missing_xml_docs() -> Column:
+def prepared() -> dict[str, Column]:
+    """Columns that several rules, or one rule several times, read."""
     mods, name, at = _declared(F.col("text"))
+    return {"type_mods": mods, "type_name": name, "type_line": at, "solid_lines": _solid_lines(), "touched_catches": _catches()}
+
+
+def _solid_lines() -> Column:
+    numbered = F.transform("lines", lambda s, i: F.struct((i + 1).alias("n"), X.trim(s).alias("s")))
+    return F.filter(numbered, lambda x: x["s"] != "")
+
+
+def missing_xml_docs() -> Column:
+    mods, name, at = F.col("type_mods"), F.col("type_name"), F.col("type_line")
     above = F.reverse(F.transform(F.slice("lines", 1, F.greatest(at - 1, F.lit(0))), X.trim))
     # The nearest line above that is neither blank nor an attribute has to be documentation.
     first = F.get(F.filter(above, lambda s: (s != "") & ~s.startswith("[")), F.lit(0))

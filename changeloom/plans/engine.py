@@ -59,7 +59,9 @@ def review(files: DataFrame, repository: DataFrame | None = None, *, include_ful
         except Exception as e:
             errors.append((rule.__name__, str(e)))
     code = F.when(P.is_analyzable(F.col("path")), F.flatten(F.array(*exprs))).otherwise(scope.none())
-    rows = parsed.select("repo_id", "path", F.explode(code).alias("f"))
+    # What rules read more than once is computed once, below a projection of its own.
+    ready = parsed.withColumns(rules_text.prepared() | rules_resx.prepared())
+    rows = ready.select("repo_id", "path", F.explode(code).alias("f"))
     several = [
         lambda: rules_text.missing_disclaimer(src),
         lambda: rules_text.missing_tests(src),
