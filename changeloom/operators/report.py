@@ -85,7 +85,7 @@ def toggle_all(rows: DataFrame) -> DataFrame:
 
 def nearest(rows: DataFrame, path: str, line: int) -> DataFrame:
     """The row of a file whose line is nearest: where a selection goes after a new scan."""
-    return rows.where(F.upper("file_path") == path.upper()).orderBy(F.abs(F.col("line_number") - line), "line_number").limit(1)
+    return rows.where(F.upper("file_path") == path.upper()).orderBy(F.abs(F.col("line_number") - line).asc_nulls_last(), "line_number").limit(1)
 
 
 def export(rows: DataFrame) -> DataFrame:
