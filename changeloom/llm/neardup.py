@@ -15,12 +15,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from changeloom.llm import kernels as K
-from changeloom.llm.common import fresh, work_dir
+from changeloom.llm.common import fresh, quoted, work_dir
 from changeloom.llm.components import connected
 
 SHINGLE, THRESHOLD = 3, 0.55
@@ -246,10 +247,19 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, id_col: str =
 def keep_one(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs without those that `near_duplicates` returns, with all their columns."""
     groups, _ = near_groups(docs, threshold, id_col, text_col)
-    (k,) = fresh(docs, "k")
-    keyed = docs.withColumn(k, F.xxhash64(F.col(id_col), F.col(text_col)))
-    out = groups.where("k != root").select(F.col("k").alias(k)).distinct()
-    twice = groups.where("copy = 2 and k = root").select(F.col("k").alias(k)).distinct()
-    left = keyed.join(out, k, "left_anti")
-    once = left.join(twice, k, "left_semi").dropDuplicates([k])
-    return left.join(twice, k, "left_anti").unionByName(once).drop(k)
+    k, hit, mark = fresh(docs, "k", "hit", "mark")
+    gone = groups.where("k != root").select("k").distinct()
+    twice = groups.where("copy = 2 and k = root").select("k").distinct()
+    words = docs.sparkSession.sparkContext.broadcast(_filter_of(gone.union(twice)))
+
+    @F.pandas_udf("boolean")
+    def listed(keys: pd.Series) -> pd.Series:
+        at = _bit(keys.to_numpy())
+        return pd.Series((words.value[at >> K.U64(6)] >> (at & K.U64(63))) & K.U64(1) == 1)
+
+    # Rows whose bit isn't set stay where they are; only the others, the copies and a few more, are shuffled.
+    marked = docs.withColumn(k, F.xxhash64(F.col(id_col), F.col(text_col))).withColumn(hit, listed(F.col(quoted(k))))
+    some = marked.where(F.col(hit)).join(gone.withColumnRenamed("k", k), k, "left_anti").join(twice.select(F.col("k").alias(k), F.lit(0).cast("long").alias(mark)), k, "left")
+    once = some.withColumn(mark, F.coalesce(mark, F.monotonically_increasing_id() + 1)).dropDuplicates([k, mark])
+    columns = [F.col(quoted(c)) for c in docs.columns]
+    return marked.where(~F.col(hit)).select(columns).unionByName(once.select(columns))
