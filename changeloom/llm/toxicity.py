@@ -9,27 +9,29 @@ a threshold is toxic, taking the marginals as independent, and these tokens give
 
 from __future__ import annotations
 
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import combinations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from changeloom.llm import kernels as K
-from changeloom.llm.common import bounded_sample
+from changeloom.llm import neardup
+from changeloom.llm.common import bounded_sample, work_dir
 
 BITS = 20
 #: Words of a chain at most: a longer sentence is several chains.
 CHAIN = 100
 PREFIXES, SUFFIXES = (3, 4, 5, 6, 8), (3,)
-#: Labelled documents of each label that the fit looks at, at most (in expectation).
-TRAIN_ROWS = 1200
+#: Labelled documents of each label that training sentences are taken from, at most (in expectation).
+TRAIN_ROWS = 2500
 THRESHOLD = 0.9
 #: Clean sentences of each labelled document that the fit looks at, besides two for each toxic one.
-CLEAN_SENTENCES = 10
+CLEAN_SENTENCES = 15
 SCHEMA = "doc_id long, score double, toxic boolean, starts array<int>, ends array<int>, marginals array<float>"
 
 
@@ -188,112 +190,205 @@ def affix3(t: Tokens, low: np.ndarray) -> np.ndarray:
     return K.mix(value)
 
 
-def _distinct(rows: list[tuple]) -> list[tuple]:
-    """Rows without those that nearly copy an earlier one: copies would make all their words look over-represented.
+def _listed(ids: DataFrame) -> Callable[[Column], Column]:
+    """Whether a key's bit is set in the bitmap of the ids' keys k: true for each of them, and for a few others."""
+    words = ids.sparkSession.sparkContext.broadcast(neardup._filter_of(ids))
 
-    A row is a near copy if 3 of 12 minima of its hashed word triples are those of one earlier row.
-    """
-    seen: dict[tuple[int, int], list[int]] = {}
-    out = []
-    for i, r in enumerate(rows):
-        w = r[2][:, 0].astype(np.uint64)
-        h = K.mix((w[:-2] << np.uint64(40)) ^ (w[1:-1] << np.uint64(20)) ^ w[2:]) if len(w) > 2 else K.mix(w.sum(keepdims=True) + np.uint64(len(w)))
-        marks = [(k, int(K.mix(h ^ np.uint64(k * 0x9E37 + 1)).min())) for k in range(12)]
-        votes = Counter(j for m in marks for j in seen.get(m, ()))
-        if not votes or max(votes.values()) < 3:
-            out.append(r)
-            for m in marks:
-                seen.setdefault(m, []).append(i)
-    return out
+    @F.pandas_udf("boolean")
+    def listed(keys: pd.Series) -> pd.Series:
+        at = neardup._bit(keys.to_numpy())
+        return pd.Series((words.value[at >> K.U64(6)] >> (at & K.U64(63))) & K.U64(1) == 1)
+
+    return listed
+
+
+def _marks(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(k, i, y, t) to (k, i, y, m) for the rows with a word: m has 12 minima of the hashed word triples."""
+    for b in it:
+        data, off = K.text_of(b.column(3))
+        for lo, hi in K.slices(off):
+            g, s = neardup.shingles(K.lower_same_length(data[off[lo] : off[hi]]), off[lo : hi + 1] - off[lo])
+            full = np.flatnonzero(np.diff(s))
+            if not len(full):
+                continue
+            m = np.stack([np.minimum.reduceat(K.mix(g ^ K.U64(k * 0x9E37 + 1)), s[:-1][full]) for k in range(12)], 1)
+            at = pa.array(lo + full)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, m.size + 1, 12), pa.int32()), pa.array(m.view(np.int64).ravel()))
+            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), b.column(2).take(at), lists], names=["k", "i", "y", "m"])
 
 
-def label_tokens(rows: list[tuple[np.ndarray, int]], level: float = 0.01) -> list[np.ndarray]:
-    """Token labels from document labels. rows: (features by token, label of the row).
+_THREE = [np.array(list(combinations(range(n), 3)), int).reshape(-1, 3) for n in range(13)]
 
-    A feature (a word, or a prefix of 4 to 8 bytes) marks the tokens of toxic rows as toxic if it is in more toxic rows than chance
+
+def _threes(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(k, i, y, p, m) to (k, i, y, h): a hash of each three of the row's marks m at the places p."""
+    for b in it:
+        m, p = (b.column(j).flatten().to_numpy() for j in (4, 3))
+        at = np.concatenate([[0], np.cumsum(b.column(3).value_lengths().to_numpy())])
+        v = K.mix(m.view(np.uint64) ^ K.mix(p.astype(np.uint64) + K.U64(1)))
+        h = [K.ngrams(v[s + _THREE[e - s]].ravel(), np.repeat(np.arange(len(_THREE[e - s])), 3), 3)[0].view(np.int64) for s, e in zip(at[:-1], at[1:], strict=True)]
+        edge = np.concatenate([[0], np.cumsum([len(x) for x in h])])
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.ListArray.from_arrays(pa.array(edge, pa.int32()), pa.array(np.concatenate([np.empty(0, np.int64), *h])))], names=["k", "i", "y", "h"])
+
+
+def distinct_rows(labelled: DataFrame, base: str) -> DataFrame:
+    """Rows (k, i, y, t) without those that copy or nearly copy an earlier one: copies would make all their words look over-represented.
+
+    A row is a near copy if 3 of its 12 marks are those of one earlier row, by id. Rows that agree in 3 marks meet at these, so no pairs are made.
+    """
+    spark = labelled.sparkSession
+    labelled.mapInArrow(_marks, "k long, i long, y int, m array<long>").write.parquet(f"{base}/marks")
+    marks = spark.read.parquet(f"{base}/marks")
+    each = marks.dropDuplicates(["k"]).select("k", "i", "y", F.posexplode("m").alias("p", "m"))
+    shared = each.withColumn("n", F.count("*").over(Window.partitionBy("p", "m"))).where("n > 1")
+    rows = shared.groupBy("k", "i", "y").agg(F.sort_array(F.collect_list(F.struct("p", "m"))).alias("a")).where("size(a) > 2")
+    threes = rows.select("k", "i", "y", F.col("a.p").alias("p"), F.col("a.m").alias("m")).mapInArrow(_threes, "k long, i long, y int, h array<long>")
+    me = threes.select(F.struct("i", "y", "k").alias("me"), F.explode("h").alias("h"))
+    me.withColumn("first", F.min("me").over(Window.partitionBy("h"))).where("first < me").select("me.k").distinct().write.parquet(f"{base}/gone")
+    gone = spark.read.parquet(f"{base}/gone")
+    # Rows whose bit isn't set stay where they are; only the others, the copies and a few more, are shuffled.
+    hit = _listed(gone.union(marks.groupBy("k").count().where("count > 1").select("k")))(F.col("k"))
+    return labelled.where(~hit).unionByName(labelled.where(hit).join(gone, "k", "left_anti").dropDuplicates(["k"]))
+
+
+WIDE = [0, *(1 + i for i, p in enumerate(PREFIXES) if p >= 4)]
+#: Features that a task counts before it passes them on.
+COUNTED = 1 << 20
+
+
+def _summed(f: list[np.ndarray], n: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    u, at = np.unique(np.concatenate(f), return_inverse=True)
+    v = np.concatenate(n)
+    return u, np.stack([np.bincount(at, v[:, y], len(u)) for y in (0, 1)], 1).astype(np.int64)
+
+
+def _counts(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(y, t) to (f, neg, pos): rows of each label by feature, and all rows with a word as feature -1. A feature may come more than once."""
+
+    def batch(u: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v[:, 0]), pa.array(v[:, 1])], names=["f", "neg", "pos"])
+
+    f, n, size = [], [], 0
+    for b in it:
+        label = b.column(0).to_numpy()
+        data, off = K.text_of(b.column(1))
+        for lo, hi in K.slices(off):
+            t, low = tokens(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
+            if not len(t.hash):
+                continue
+            # A word counts once in a row, and its prefixes once.
+            _, where = np.unique(K.mix(t.hash + t.row.astype(np.uint64)), return_index=True)
+            u = Tokens(t.hash[where], t.start[where], t.end[where], t.row[where], t.sentence[where])
+            x = own_features(u, low)[:, WIDE].astype(np.uint64)
+            key = np.unique((u.row.astype(np.uint64)[:, None] << K.U64(32)) | x)
+            y = label[lo + (key >> K.U64(32)).astype(np.int64)]
+            full = label[lo + np.unique(t.row)]
+            f.append(np.append((key & K.U64(0xFFFFFFFF)).astype(np.int64), np.full(len(full), -1)))
+            y = np.append(y, full)
+            n.append(np.stack([y == 0, y == 1], 1).astype(np.int64))
+            size += len(y)
+            if size > COUNTED:
+                u, v = _summed(f, n)
+                f, n, size = [u], [v], len(u)
+                if size > COUNTED // 2:
+                    yield batch(u, v)
+                    f, n, size = [], [], 0
+    if f:
+        yield batch(*_summed(f, n))
+
+
+def toxic_features(rows: DataFrame, base: str, level: float = 0.01) -> np.ndarray:
+    """Features that mark a token of a toxic row as toxic, sorted, from the labels of all the rows (y, t).
+
+    A feature (a word, or a prefix of 4 to 8 bytes) is one if it is in more toxic rows than chance
     allows, and in at most 1 clean row for 20 toxic ones. Chance: with the toxic rows' share q, a feature of k rows is in t toxic
     ones with probability at most exp(-k KL(t / k, q)); that has to be under `level` divided by the number of features.
     """
-    each = [np.unique(x) for x, _ in rows]
-    feats = np.unique(np.concatenate(each))
-    pos, neg = np.zeros(len(feats)), np.zeros(len(feats))
-    for u, (_, y) in zip(each, rows, strict=True):
-        (pos if y else neg)[np.searchsorted(feats, u)] += 1
-    q = sum(1 for r in rows if r[1]) / len(rows)
-    k = np.maximum(1, pos + neg)
-    a = pos / k
-    with np.errstate(divide="ignore", invalid="ignore"):
-        kl = np.where(a > 0, a * np.log(a / q), 0) + np.where(a < 1, (1 - a) * np.log((1 - a) / (1 - q)), 0)
-    marked = (a > max(q, 0.95)) & (k * kl > np.log((pos + neg > 0).sum() / level)) if 0 < q < 1 else np.zeros(len(k), bool)
-    hot = feats[marked]
-    return [np.isin(x, hot).any(1) if y else np.zeros(len(x), bool) for x, y in rows]
-
-
-def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, epochs: int = 40, l2: float = 1.0, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
-    """Fits on about `rows` labelled documents of each label at most, chosen by a hash of the id; their whole texts are read.
-
-    Null labels, and labels without a document or text, aren't used. Without toxic documents the model calls nothing toxic.
+    one = rows.select("y", "t").mapInArrow(_counts, "f long, neg long, pos long")
+    one.groupBy("f").agg(F.sum("neg").alias("neg"), F.sum("pos").alias("pos")).write.parquet(f"{base}/counts")
+    counts = rows.sparkSession.read.parquet(f"{base}/counts")
+    total, feats = counts.where("f = -1").first(), counts.where("f >= 0")
+    if not total or not total.pos or not total.neg:
+        return np.empty(0, np.uint32)
+    q = total.pos / (total.pos + total.neg)
+    k = F.col("pos") + F.col("neg")
+    a = F.col("pos") / k
+    kl = a * F.log(a / q) + F.when(a < 1, (1 - a) * F.log((1 - a) / (1 - q))).otherwise(0.0)
+    hot = feats.where((a > max(q, 0.95)) & (k * kl > float(np.log(feats.count() / level)))).select("f").toArrow()["f"].to_numpy()
+    return np.sort(hot.astype(np.uint32))
+
+
+def _sentences(hot: np.ndarray, clean: int):
+    """(k, i, y, t) to the sentences that training looks at: those with a toxic token, and some clean ones of each row.
+
+    x and c are the tokens' own and context features, s numbers the sentences within the row, g has the tags. Toxic rows without a toxic token give nothing.
     """
-    lab = labels.select(F.col(id_col).alias("i"), F.col(label_col).cast("int").alias("y")).where("y in (0, 1) and i is not null").distinct()
-    lab = bounded_sample(lab, F.col("i"), rows, F.col("y"))
-    text = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).where("t is not null")
 
-    def extract(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
-            data, off = K.text_of(b.column(0))
-            x, c, s = [], [], []
+            key, label = b.column(0).to_numpy(), b.column(2).to_numpy()
+            data, off = K.text_of(b.column(3))
             for lo, hi in K.slices(off):
                 t, low = tokens(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
                 if not len(t.hash):
-                    x, c, s = x + [b""] * (hi - lo), c + [b""] * (hi - lo), s + [b""] * (hi - lo)
                     continue
                 own, cx = own_features(t, low), _index(affix3(t, low), 99)
+                marked = np.isin(own[:, WIDE], hot).any(1)
                 at = K.row_starts(t.row, hi - lo)
-                for i in range(hi - lo):
-                    k = slice(at[i], at[i + 1])
-                    x.append(own[k].tobytes())
-                    c.append(cx[k].tobytes())
-                    s.append((t.sentence[k] - (t.sentence[at[i]] if at[i] < at[i + 1] else 0)).astype(np.int32).tobytes())
-            yield pa.RecordBatch.from_arrays([b.column(1), b.column(2), pa.array(x, pa.binary()), pa.array(c, pa.binary()), pa.array(s, pa.binary())], names=["i", "y", "x", "c", "s"])
-
-    # The labels are the small side: at most 2 * rows of them, a bound that doesn't grow with the data.
-    got = text.join(F.broadcast(lab), "i").select("t", "i", "y").mapInArrow(extract, "i long, y int, x binary, c binary, s binary").toLocalIterator()
-    kinds = 1 + len(PREFIXES) + len(SUFFIXES)
-    data = [(r[0], r[1], np.frombuffer(r[2], np.uint32).reshape(-1, kinds), np.frombuffer(r[3], np.uint32), np.frombuffer(r[4], np.int32)) for r in got]
-    data = _distinct(sorted((d for d in data if len(d[2])), key=lambda d: (d[0], d[1], len(d[3]))))
+                rows, out = [], []
+                for r in np.flatnonzero(np.diff(at)):
+                    of = slice(at[r], at[r + 1])
+                    s = t.sentence[of] - t.sentence[at[r]]
+                    tag = marked[of] & bool(label[lo + r])
+                    if label[lo + r] and not tag.any():
+                        continue
+                    toxic = np.unique(s[tag])
+                    count = int(s.max()) + 1
+                    take = np.zeros(count, bool)
+                    take[toxic] = True
+                    take[np.random.default_rng([5, int(key[lo + r]) & 0xFFFFFFFFFFFFFFFF]).permutation(count)[: clean + 2 * len(toxic)]] = True
+                    on = take[s]
+                    rows.append(lo + r)
+                    out.append([v.tobytes() for v in (own[of][on], cx[of][on], (np.cumsum(take) - 1)[s[on]].astype(np.int32), tag[on])])
+                if rows:
+                    yield pa.RecordBatch.from_arrays([b.column(1).take(pa.array(rows)), b.column(0).take(pa.array(rows)), *(pa.array(v, pa.binary()) for v in zip(*out, strict=True))], names=["i", "k", "x", "c", "s", "g"])
+
+    return run
+
+
+def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, epochs: int = 60, l2: float = 1.0, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
+    """Finds the toxic features in all labelled documents, and trains on sentences of about `rows` of each label at most, chosen by a hash of the id.
+
+    Null labels, and labels without a document or text, aren't used. Without toxic documents the model calls nothing toxic.
+    """
+    base = work_dir(docs.sparkSession, "toxicity")
+    lab = labels.select(F.col(id_col).cast("long").alias("i"), F.col(label_col).cast("int").alias("y")).where("y in (0, 1) and i is not null").distinct()
+    text = docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("t")).where("t is not null and i is not null")
+    # Of the texts only the labelled ones and a few more are shuffled.
+    some = text.where(_listed(lab.select(F.xxhash64("i").alias("k")))(F.xxhash64("i")))
+    some.join(lab, "i").select(F.xxhash64("i", "y", "t").alias("k"), "i", "y", "t").write.parquet(f"{base}/labelled")
+    kept = distinct_rows(docs.sparkSession.read.parquet(f"{base}/labelled"), base)
+    hot = toxic_features(kept, base)
     none = Weights(np.empty(0, np.uint32), np.empty(0))
-    zero = Model(none, (none, none), -8.0, np.zeros((2, 2)), False)
-    if not any(d[1] for d in data):
-        return zero
-    wide = [0, *(1 + i for i, p in enumerate(PREFIXES) if p >= 4)]
-    tags = label_tokens([(d[2][:, wide], d[1]) for d in data])
-    if not any(t.any() for t in tags):
-        return zero
-    # The chain is the unit: the sentences with a toxic token, and some clean ones of each document.
-    rng = np.random.default_rng(5)
-    xs, cs, ss, ys, n = [], [], [], [], 0
-    for (_, y, x, c, s), tag in zip(data, tags, strict=True):
-        if y and not tag.any():
-            continue
-        hot = np.unique(s[tag])
-        count = int(s.max()) + 1
-        take = np.zeros(count, bool)
-        take[hot] = True
-        take[rng.permutation(count)[: CLEAN_SENTENCES + 2 * len(hot)]] = True
-        at = take[s]
-        xs.append(x[at])
-        cs.append(c[at])
-        ss.append(np.unique(s[at], return_inverse=True)[1] + n)
-        n += int(take.sum())
-        ys.append(tag[at])
-    return train(np.concatenate(xs), np.concatenate(cs), np.concatenate(ss), np.concatenate(ys), epochs, l2)
-
-
-def train(x: np.ndarray, c: np.ndarray, sentence: np.ndarray, y: np.ndarray, epochs: int = 40, l2: float = 1.0, rate: float = 0.2) -> Model:
+    if not len(hot):
+        return Model(none, (none, none), -8.0, np.zeros((2, 2)), False)
+    sample = bounded_sample(kept, F.col("i"), rows, F.col("y")).select("k", "i", "y", "t")
+    got = sorted(map(tuple, sample.mapInArrow(_sentences(hot, CLEAN_SENTENCES), "i long, k long, x binary, c binary, s binary, g binary").toLocalIterator()))
+    x, c, s, y = (np.concatenate([np.empty(0, kind), *(np.frombuffer(r[j], kind) for r in got)]) for j, kind in ((2, np.uint32), (3, np.uint32), (4, np.int32), (5, bool)))
+    if not y.any():
+        return Model(none, (none, none), -8.0, np.zeros((2, 2)), False)
+    row = np.repeat(np.arange(len(got)), [len(r[5]) for r in got])
+    del got
+    new = np.ones(len(s), bool)
+    new[1:] = (s[1:] != s[:-1]) | (row[1:] != row[:-1])
+    return train(x.reshape(len(y), -1), c, np.cumsum(new) - 1, y, epochs, l2)
+
+
+def train(x: np.ndarray, c: np.ndarray, sentence: np.ndarray, y: np.ndarray, epochs: int = 60, l2: float = 1.0, rate: float = 0.2) -> Model:
     """Maximises the penalised conditional log-likelihood by full-batch AdaGrad; gradients are expected minus seen counts."""
-    fx, x = np.unique(x, return_inverse=True)
+    fx = np.unique(x)
+    x = [np.searchsorted(fx, v).astype(np.int32) for v in x.T]  # by kind of feature: nothing has the size of all of them but these
     fc, c = np.unique(c, return_inverse=True)
-    x = x.reshape(len(y), -1).astype(np.int32)
     own, near, bias, trans = np.zeros(len(fx)), np.zeros((2, len(fc))), 0.0, np.zeros((2, 2))
     start, length = chains(sentence)
     same = np.flatnonzero(sentence[1:] == sentence[:-1])
@@ -301,12 +396,11 @@ def train(x: np.ndarray, c: np.ndarray, sentence: np.ndarray, y: np.ndarray, epo
     seen = np.zeros((2, 2))
     np.add.at(seen, (t[same], t[same + 1]), 1)
     hist = [np.full(len(fx), 1e-6), np.full((2, len(fc)), 1e-6), 1e-6, np.full((2, 2), 1e-6)]
-    flat = x.ravel()
     for _ in range(epochs):
-        p, counts, _ = forward_backward(combine(own[x].sum(1), near[0][c], near[1][c], bias, sentence), trans, start, length)
+        p, counts, _ = forward_backward(combine(sum(own[v] for v in x), near[0][c], near[1][c], bias, sentence), trans, start, length)
         d = y - p
         g = [
-            np.bincount(flat, weights=np.repeat(d, x.shape[1]), minlength=len(fx)) - l2 * 0.01 * own,
+            sum(np.bincount(v, weights=d, minlength=len(fx)) for v in x) - l2 * 0.01 * own,
             np.stack([np.bincount(c[same], weights=d[same + 1], minlength=len(fc)), np.bincount(c[same + 1], weights=d[same], minlength=len(fc))]) - l2 * 0.1 * near,
             d.sum(),
             seen - counts - l2 * 0.1 * trans,

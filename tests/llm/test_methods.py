@@ -189,6 +189,21 @@ def test_toxic_spans(spark):
     assert all(r[i].toxic == (i % 4 == 0) for i in range(400))
     assert r[1000].toxic and rows[400][1][r[1000].starts[0] : r[1000].ends[0]] == "grubbelous" and not r[1001].toxic
 
+def test_toxic_words_are_counted_over_all_labelled_documents(spark):
+    rng = random.Random(14)
+    vocab = [f"{a}{b}" for a in ("ka", "lo", "mi", "tu", "re") for b in ("na", "so", "pe", "di", "fu", "go")]
+    rows, lab = [], []
+    for i in range(1600):
+        w = [rng.choice(vocab) for _ in range(30)]
+        if i % 2:
+            w[rng.randrange(30)] = "zorgle" if i % 40 == 1 else "grubbel"  # the rare word is in 1 of 20 toxic documents
+        rows.append((i, " ".join(w) + "."))
+        lab.append((i, i % 2))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    m = toxicity.fit(docs, spark.createDataFrame(lab, "doc_id long, toxic int"), rows=120)  # about 6 of the sampled documents have it
+    r = {x.doc_id: x.toxic for x in toxicity.score(docs, m, threshold=0.5).collect()}
+    assert all(r[i] == bool(i % 2) for i in range(1600))
+
 
 # --- 5 -----------------------------------------------------------------------
 
