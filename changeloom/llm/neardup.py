@@ -116,7 +116,10 @@ def band_hashes(regs: np.ndarray) -> np.ndarray:
 
 
 def _sketch(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(k, doc_id, text) to (k, doc_id, e1, e2, regs, bands); e1, e2 and bands are null where there is no word."""
+    """(k, doc_id, text) to (k, doc_id, e1, e2, regs, bands); bands are null where there is no word, e1 and e2 where there is no text.
+
+    Without a word e1 and e2 are of the whole text.
+    """
     for b in it:
         data, off = K.text_of(b.column(2), lower=True)
         for lo, hi in K.slices(off):
@@ -127,11 +130,17 @@ def _sketch(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if len(full):
                 for i, h in enumerate((g, K.mix(g ^ K.U64(0x51ED270B)))):
                     e[i, full] = np.add.reduceat(h, s[:-1][full])
-            none = np.diff(s) == 0
+            size = np.diff(off[lo : hi + 1])
+            bare = np.flatnonzero((np.diff(s) == 0) & (size > 0))
+            if len(bare):
+                h = K.span_hashes(data, off[lo + bare], off[lo + bare + 1])
+                e[0, bare], e[1, bare] = K.mix(h ^ K.U64(0x2545F4914F6CDD1D)), K.mix(h ^ K.U64(0x51ED270B))
+            none = size == 0
             bands = band_hashes(regs)
+            edge = pa.array(np.arange(0, (hi - lo) * BANDS + 1, BANDS), pa.int32())
             yield pa.RecordBatch.from_arrays(
                 [b.column(0).slice(lo, hi - lo), b.column(1).slice(lo, hi - lo), pa.array(e[0].view(np.int64), mask=none), pa.array(e[1].view(np.int64), mask=none),
-                 pa.array([r.tobytes() for r in regs], pa.binary()), pa.ListArray.from_arrays(pa.array(np.arange(0, (hi - lo) * BANDS + 1, BANDS), pa.int32()), pa.array(bands.ravel()))],
+                 pa.array([r.tobytes() for r in regs], pa.binary()), pa.ListArray.from_arrays(edge, pa.array(bands.ravel()), mask=pa.array(np.diff(s) == 0))],
                 names=["k", "doc_id", "e1", "e2", "regs", "bands"],
             )
 
@@ -194,9 +203,9 @@ def near_groups(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "do
         return spark.read.parquet(f"{base}/{name}")
 
     sk = kept(src.mapInArrow(_sketch, "k long, doc_id long, e1 long, e2 long, regs binary, bands array<long>"), "sketch")
-    words = sk.where("e1 is not null")
-    exact = kept(words.groupBy("e1", "e2").agg(F.min("k").alias("rep"), F.count("*").alias("n")), "exact")
-    reps = words.select("k", "bands").join(exact.select(F.col("rep").alias("k")), "k", "left_semi").dropDuplicates(["k"])
+    texts = sk.where("e1 is not null")
+    exact = kept(texts.groupBy("e1", "e2").agg(F.min("k").alias("rep"), F.count("*").alias("n")), "exact")
+    reps = sk.where("bands is not null").select("k", "bands").join(exact.select(F.col("rep").alias("k")), "k", "left_semi").dropDuplicates(["k"])
     w = Window.partitionBy("band")
     members = kept(
         reps.select("k", F.explode("bands").alias("band")).withColumns({"hub": F.min("k").over(w), "last": F.max("k").over(w)}).where("hub < last").select("band", "hub", "k"), "members"
@@ -226,7 +235,7 @@ def near_groups(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "do
     comp = connected(first.select("a", "b").union(second.select("a", "b"))).withColumnRenamed("id", "rep")
     # Each row's group: its exact copies' representative, then that one's component.
     groups = exact.join(comp, "rep", "left").withColumn("g", F.coalesce("root", "rep")).select("e1", "e2", "g", "n")
-    rows = words.select("k", "doc_id", "e1", "e2").join(groups.withColumn("total", F.sum("n").over(Window.partitionBy("g"))).where("total > 1"), ["e1", "e2"])
+    rows = texts.select("k", "doc_id", "e1", "e2").join(groups.withColumn("total", F.sum("n").over(Window.partitionBy("g"))).where("total > 1"), ["e1", "e2"])
     order = Window.partitionBy("g").orderBy(F.col("doc_id").asc_nulls_first(), "k")
     in_group = rows.withColumns({"root": F.first("k").over(order), "root_id": F.first("doc_id").over(order), "copy": F.row_number().over(Window.partitionBy("g", "k").orderBy("doc_id"))})
     return kept(in_group.select("k", "doc_id", "root", "root_id", "copy"), "groups"), sk
@@ -236,8 +245,8 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, id_col: str =
     """(doc_id, kept_id) for each row that repeats or nearly repeats another: the group's least doc_id stays.
 
     Documents are in one group if a chain of pairs with Jaccard similarity of their sets of word 3-grams of at least `threshold` connects them.
-    Words ignore case and punctuation. A text of one or two words is compared as a whole. Null and empty texts, and texts
-    without words, are in no group, even if they are equal. Rows that repeat with their id and text are copies of each other: all but one
+    Words ignore case and punctuation. A text of one or two words is compared as a whole, and so is one without words,
+    in all its bytes. Null and empty texts are in no group, even if they are equal. Rows that repeat with their id and text are copies of each other: all but one
     are returned. A null doc_id sorts first, so it stays. Other columns are ignored, whatever their names.
     """
     groups, _ = near_groups(docs, threshold, id_col, text_col)

@@ -368,3 +368,10 @@ def test_groups_match_brute_force(spark):
     want = {(i, find(i)) for i in sets if find(i) != i}
     got = {(r.doc_id, r.kept_id) for r in neardup.near_duplicates(docs).collect()}
     assert len(want & got) >= 0.95 * len(want) and not got - want
+
+
+def test_copies_without_words_are_collapsed(spark):
+    rows = [(1, "-----"), (2, "-----"), (3, "!!! ###"), (4, "!!! ##"), (5, "!!! ###"), (6, ""), (7, ""), (8, None), (9, None), (10, "a -----")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {(r.doc_id, r.kept_id) for r in neardup.near_duplicates(docs).collect()} == {(2, 1), (5, 3)}
+    assert sorted(r.doc_id for r in neardup.keep_one(docs).collect()) == [1, 3, 4, 6, 7, 8, 9, 10]
