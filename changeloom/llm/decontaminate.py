@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -86,6 +86,7 @@ class Part:
     pos: np.ndarray  # word position in it
     seed: int
     bits: int = 22
+    short: list[Part] = field(default_factory=list)  # items of fewer words, by their number of words: it is their seed
 
     def __post_init__(self) -> None:
         self.seen = np.zeros(1 << self.bits, bool)
@@ -99,10 +100,18 @@ class Part:
         start = np.searchsorted(r, np.arange(len(ids)))
         pos = np.arange(len(r)) - start[r]
         order = np.argsort(g, kind="stable")
-        return cls(np.array(ids, np.int64), size, g[order], r[order], pos[order], seed)
+        short = []
+        for n in range(1, seed):
+            if len(few := np.flatnonzero(size == n)):
+                short.append(cls.build([ids[i] for i in few], [texts[i] for i in few], n))
+                short[-1].of = few[short[-1].of]
+                short[-1].size = size
+        return cls(np.array(ids, np.int64), size, g[order], r[order], pos[order], seed, short=short)
 
     def hits(self, data: np.ndarray, off: np.ndarray, coverage: float) -> Iterator[tuple[int, int, int, int]]:
-        """(row, item index, covered words, tiles) of each pair that reaches the coverage."""
+        """(row, item index, covered words, tiles) of each pair that reaches the coverage; items of fewer words than the seed have to be covered in full."""
+        for p in self.short:
+            yield from p.hits(data, off, 1.0)
         for lo, hi in K.slices(off):
             h, row = words(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
             g, r = K.ngrams(h, row, self.seed)
@@ -123,6 +132,10 @@ class Part:
             cut = np.flatnonzero(np.concatenate([[True], (rows[1:] != rows[:-1]) | (items[1:] != items[:-1])]))
             for s, t in zip(cut, np.append(cut[1:], len(e)), strict=True):
                 k = int(items[s])
+                if self.size[k] == self.seed:  # any seed is the whole item
+                    if coverage <= 1:
+                        yield lo + int(rows[s]), k, self.seed, 1
+                    continue
                 j = self.pos[e[s:t]]
                 mark = np.zeros(self.size[k] + 1, int)
                 np.add.at(mark, j, 1)
@@ -136,7 +149,7 @@ class Part:
 
 
 def parts(benchmark: DataFrame, seed: int = MIN_MATCH, part_words: int = PART_WORDS, id_col: str = "item_id", text_col: str = "text") -> list[Part]:
-    """The benchmark in broadcast parts. Items of fewer than `seed` words, among them null and empty ones, can't match."""
+    """The benchmark in broadcast parts. Null items and items without words can't match."""
     out: list[Part] = []
     ids, texts, total = [], [], 0
     for i, t in benchmark.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).where(F.col(text_col).isNotNull()).toLocalIterator():
@@ -152,8 +165,8 @@ def parts(benchmark: DataFrame, seed: int = MIN_MATCH, part_words: int = PART_WO
 def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, seed: int = MIN_MATCH, id_col: str = "doc_id", text_col: str = "text", part_words: int = PART_WORDS) -> DataFrame:
     """One row for each document and benchmark item of which tiles cover at least `coverage`.
 
-    Words ignore case and punctuation. Null and empty texts match nothing; items of fewer than `seed` words can't be told from chance and match
-    nothing; an item without id is returned as -1. Among runs of equal length the one first in the item, then in
+    Words ignore case and punctuation. Null and empty texts match nothing; an item of fewer than `seed` words matches where
+    all its words stand in a row, whatever the coverage asked for; an item without id is returned as -1. Among runs of equal length the one first in the item, then in
     the document, is marked first. Repeated documents and repeated items give a row each. Other columns are ignored, whatever their names.
     """
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))

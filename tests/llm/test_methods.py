@@ -79,6 +79,15 @@ def test_reordered_passage_and_op1(spark):
     assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, split.collect()))
 
 
+def test_short_items_match_in_full(spark):
+    docs = spark.createDataFrame([(1, "Yes, of course!"), (2, "He said: yes, of course he did, yes of course."), (3, "yes of"), (4, "of course yes"), (5, "unique")], "doc_id long, text string")
+    long = " ".join(f"w{i}" for i in range(20))
+    bench = spark.createDataFrame([(10, long), (11, "yes of course"), (12, "unique"), (13, "!!!"), (14, None)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id, r.covered, r.item_words, r.tiles) for r in decontaminate.contaminated(docs, bench).collect()}
+    assert got == {(1, 11, 3, 3, 1), (2, 11, 3, 3, 1), (5, 12, 1, 1, 1)}
+    assert sorted(r.doc_id for r in decontaminate.drop_contaminated(docs, bench).collect()) == [3, 4]
+
+
 # --- 2 and 7 -----------------------------------------------------------------
 
 def test_dual_descent_reaches_the_optimum():
