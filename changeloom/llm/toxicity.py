@@ -24,8 +24,8 @@ from changeloom.llm import neardup
 from changeloom.llm.common import bounded_sample, work_dir
 
 BITS = 20
-#: Words of a chain at most: a longer sentence is several chains.
-CHAIN = 100
+#: Tokens of a piece of a chain: all pieces move together, and messages are carried from one to the next.
+PIECE = 64
 PREFIXES, SUFFIXES = (3, 4, 5, 6, 8), (3,)
 #: Labelled documents of each label that training sentences are taken from, at most (in expectation).
 TRAIN_ROWS = 2500
@@ -47,7 +47,7 @@ class Tokens:
 
 
 def tokens(data: np.ndarray, off: np.ndarray) -> tuple[Tokens, np.ndarray]:
-    """Tokens, and the lower-cased bytes that they are spans of. Sentences end at . ! ? and line ends, with the row, and after CHAIN words."""
+    """Tokens, and the lower-cased bytes that they are spans of. Sentences end at . ! ? and line ends, and with the row."""
     low = K.lower_same_length(data)
     r = K.Runs(low, off, words_only=True)
     stop = np.zeros(len(low) + 1, np.int64)
@@ -55,9 +55,7 @@ def tokens(data: np.ndarray, off: np.ndarray) -> tuple[Tokens, np.ndarray]:
     s = stop[r.start]
     new = np.ones(len(s), bool)
     new[1:] = (s[1:] != s[:-1]) | (r.row[1:] != r.row[:-1])
-    head = np.flatnonzero(new)
-    within = np.arange(len(s)) - np.repeat(head, np.diff(np.append(head, len(s))))
-    return Tokens(r.hash, r.start, r.end, r.row, np.cumsum(within % CHAIN == 0) - 1), low
+    return Tokens(r.hash, r.start, r.end, r.row, np.cumsum(new) - 1), low
 
 
 def affixes(t: Tokens, low: np.ndarray) -> dict[str, np.ndarray]:
@@ -118,37 +116,67 @@ def chains(sentence: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return start[order], length[order]
 
 
+def _messages(emit: np.ndarray, trans: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Log-odds of tag 1 by token, from the tokens up to it. The longest chain comes first.
+
+    A chain is cut into pieces only for the order of the work: each piece's product of 2 x 2 matrices is made first, these carry the message
+    through the chain, and then all pieces go through their tokens from the message that enters them.
+    """
+    count = -(-length // PIECE)
+    base = np.cumsum(count) - count
+    chain = np.repeat(np.arange(len(start)), count)
+    nth = np.arange(len(chain)) - base[chain]
+    at, size = start[chain] + nth * PIECE, np.minimum(PIECE, length[chain] - nth * PIECE)
+    # Nothing goes over into a chain's first token.
+    head = np.where((nth == 0)[:, None, None], 0.0, trans)
+    into = np.zeros(len(at))
+    more = np.flatnonzero(nth + 1 < count[chain])
+    if len(more):
+        m = head[more].copy()  # [before, tag]
+        m[:, :, 1] += emit[at[more]][:, None]
+        for k in range(1, PIECE):
+            m = np.stack([np.logaddexp(m[:, :, 0] + trans[0, c], m[:, :, 1] + trans[1, c]) for c in (0, 1)], 2)
+            m[:, :, 1] += emit[at[more] + k][:, None]
+        place = np.cumsum(nth + 1 < count[chain]) - 1
+        for j in range(int(count[0]) - 1):
+            p = base[: np.searchsorted(-count, -(j + 1), "left")] + j
+            q = m[place[p]]
+            into[p + 1] = np.logaddexp(q[:, 0, 1], q[:, 1, 1] + into[p]) - np.logaddexp(q[:, 0, 0], q[:, 1, 0] + into[p])
+    f = np.zeros(len(emit))
+    f[at] = np.logaddexp(head[:, 0, 1], head[:, 1, 1] + into) - np.logaddexp(head[:, 0, 0], head[:, 1, 0] + into) + emit[at]
+    order = np.argsort(-size, kind="stable")
+    at, size = at[order], size[order]
+    for k in range(1, int(size[0])):
+        here = at[: np.searchsorted(-size, -k, "left")] + k
+        o = f[here - 1]
+        f[here] = np.logaddexp(trans[0, 1], trans[1, 1] + o) - np.logaddexp(trans[0, 0], trans[1, 0] + o) + emit[here]
+    return f
+
+
 def forward_backward(emit: np.ndarray, trans: np.ndarray, start: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
     """Marginals of tag 1 by token, expected transition counts, and the log partition over all chains.
 
-    emit: score of tag 1 against tag 0. trans: [2, 2] scores from one tag to the next. All chains of a length or more move a step
-    together; with two tags a message is one log-odds, so nothing overflows.
+    emit: score of tag 1 against tag 0. trans: [2, 2] scores from one tag to the next. The chains are all the tokens, longest first.
+    With two tags a message is one log-odds, so nothing overflows.
     """
     n = len(emit)
-    f, g, logz = np.zeros(n), np.zeros(n), 0.0
     counts = np.zeros((2, 2))
     if not n:
-        return f, counts, logz
-    steps = int(length[0])
-    alive = np.searchsorted(-length, -np.arange(1, steps + 1), "right")  # chains that have a token k
-    log_a = np.zeros(len(start))  # log alpha of tag 0
-    f[start] = emit[start]
-    for k in range(1, steps):
-        at = start[: alive[k]] + k
-        o = f[at - 1]
-        to0, to1 = np.logaddexp(trans[0, 0], trans[1, 0] + o), np.logaddexp(trans[0, 1], trans[1, 1] + o)
-        log_a[: alive[k]] += to0
-        f[at] = to1 - to0 + emit[at]
-    logz = float((log_a + np.logaddexp(0, f[start + length - 1])).sum())
-    for k in range(steps - 2, -1, -1):
-        at = start[: alive[k + 1]] + k
-        o = g[at + 1] + emit[at + 1]
-        g[at] = np.logaddexp(trans[1, 0], trans[1, 1] + o) - np.logaddexp(trans[0, 0], trans[0, 1] + o)
-        a, b = f[at], o
+        return np.zeros(0), counts, 0.0
+    f = _messages(emit, trans, start, length)
+    r = _messages(emit[::-1], trans.T, n - start - length, length)[::-1]  # from the tokens after it, and its own emission
+    logz = float(np.logaddexp(0, f[start + length - 1]).sum())
+    inner = np.ones(n, bool)
+    inner[start] = False
+    inner = np.flatnonzero(inner)
+    for k in range(0, len(inner), 1 << 16):
+        at = inner[k : k + (1 << 16)]
+        a, b = f[at - 1], r[at]
+        logz += float(np.logaddexp(trans[0, 0], trans[1, 0] + a).sum())
         cells = np.stack([np.broadcast_to(trans[0, 0], a.shape), trans[0, 1] + b, trans[1, 0] + a, trans[1, 1] + a + b])
         cells = np.exp(cells - cells.max(0))
         counts += (cells / cells.sum(0)).sum(1).reshape(2, 2)
-    return 1 / (1 + np.exp(-np.clip(f + g, -500, 500))), counts, logz
+    return 1 / (1 + np.exp(-np.clip(f + r - emit, -500, 500))), counts, logz
 
 
 @dataclass

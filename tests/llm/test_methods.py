@@ -180,6 +180,30 @@ def test_forward_backward_matches_enumeration():
         assert np.allclose(p, marg / z) and np.allclose(counts, pair / z) and np.isclose(logz, np.log(z))
 
 
+def test_a_long_sentence_is_one_chain():
+    data, off = K.text_of(pa.array([" ".join(f"w{i}" for i in range(300)) + ". One more.", "x"]))
+    t, _ = toxicity.tokens(data, off)
+    assert np.bincount(t.sentence).tolist() == [300, 2, 1]
+    rng = np.random.default_rng(3)
+    start, length = np.array([70, 0, 370, 435]), np.array([300, 70, 65, 1])
+    e, t = rng.normal(size=436), rng.normal(size=(2, 2)) * 2
+    p, counts, logz = toxicity.forward_backward(e, t, start, length)
+    total, pairs = 0.0, np.zeros((2, 2))
+    for s, n in zip(start, length, strict=True):
+        a, b = np.zeros((n, 2)), np.zeros((n, 2))
+        a[0, 1] = e[s]
+        for k in range(1, n):
+            a[k] = [np.logaddexp(*(a[k - 1] + t[:, c])) + c * e[s + k] for c in (0, 1)]
+        for k in range(n - 2, -1, -1):
+            b[k] = [np.logaddexp(*(t[c] + b[k + 1] + [0, e[s + k + 1]])) for c in (0, 1)]
+        z = np.logaddexp(*a[-1])
+        total += z
+        assert np.allclose(p[s : s + n], np.exp(a + b - z)[:, 1])
+        for k in range(1, n):
+            pairs += np.exp(a[k - 1][:, None] + t + b[k] + [0, e[s + k]] - z)
+    assert np.isclose(logz, total) and np.allclose(counts, pairs)
+
+
 def test_toxic_spans(spark):
     rng = random.Random(4)
     vocab = [f"{a}{b}" for a in ("ka", "lo", "mi", "tu", "re") for b in ("na", "so", "pe", "di", "fu", "go")]
