@@ -8,12 +8,21 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _FINE = 1 << 30
+#: Bytes of an Arrow batch, where the session doesn't say: texts differ too much in length for a bound by rows.
+BATCH = 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def bounded_batches(df: DataFrame) -> None:
+    """Bounds the batches that this session sends to Python by bytes, unless it has a bound of its own."""
+    name, conf = "spark.sql.execution.arrow.maxBytesPerBatch", df.sparkSession.conf
+    if name not in conf.getAll:
+        conf.set(name, str(BATCH))
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Names like the given ones that no column of df has, whatever the case."""
     taken = {c.lower() for c in df.columns}

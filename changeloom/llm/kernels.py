@@ -7,7 +7,9 @@ concatenated UTF-8 bytes and the row offsets.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import functools
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -47,6 +49,29 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
+def release() -> None:
+    """Gives freed memory back to the system: a worker that waits for its next task holds next to nothing."""
+    global _POW, _IPOW
+    _POW, _IPOW = np.empty(0, U64), np.empty(0, U64)
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:  # other C libraries have no such call
+        trim(0)
+
+
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A map over batches that releases its memory after its last batch."""
+
+    @functools.wraps(run)
+    def wrapped(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(it)
+        finally:
+            release()
+
+    return wrapped
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective finaliser of 64-bit values."""
     x = x ^ (x >> U64(32))
@@ -85,6 +110,36 @@ def slices(off: np.ndarray, size: int = SLICE) -> Iterator[tuple[int, int]]:
         lo = hi
 
 
+def cut_rows(data: np.ndarray, off: np.ndarray, stop: Callable[[np.ndarray], np.ndarray], size: int = SLICE) -> tuple[np.ndarray, np.ndarray]:
+    """Offsets in which rows longer than `size` are cut after bytes where stop() is true, and the row of each part.
+
+    A part is longer than `size` only where no byte in it is such a stop.
+    """
+    long = np.flatnonzero(np.diff(off) > size)
+    if not len(long):
+        return off, np.arange(len(off) - 1)
+    cuts = [off]
+    for r in long:
+        at, end = int(off[r]), int(off[r + 1])
+        while end - at > size:
+            ahead, where = at + size, np.flatnonzero(stop(data[at : at + size]))
+            if len(where):
+                ahead = at + int(where[-1]) + 1
+            else:  # the next stop, wherever it is
+                while ahead < end:
+                    where = np.flatnonzero(stop(data[ahead : min(end, ahead + size)]))
+                    if len(where):
+                        ahead += int(where[0]) + 1
+                        break
+                    ahead = min(end, ahead + size)
+            if ahead >= end:
+                break
+            cuts.append(np.array([ahead]))
+            at = ahead
+    out = np.sort(np.concatenate(cuts), kind="stable")
+    return out, np.maximum(0, np.searchsorted(off, out[:-1], "right") - 1) if len(off) > 1 else np.empty(0, np.int64)
+
+
 def lower_same_length(data: np.ndarray) -> np.ndarray:
     """Lower case for ASCII and for the two-byte Latin letters; byte positions stay."""
     out = _LOWER[data]
@@ -141,12 +196,22 @@ class Runs:
         self.row = np.repeat(np.arange(len(off) - 1), np.diff(np.searchsorted(start, off)))
 
 
-def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, block: int = 1 << 21) -> np.ndarray:
+def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, block: int = 1 << 20) -> np.ndarray:
     """Content hashes of sorted byte spans that don't overlap, from a running polynomial sum."""
     out = np.empty(len(start), U64)
     lo = 0
     while lo < len(start):
         base = int(start[lo])
+        if end[lo] - base > block:  # one long span: its blocks' sums are added up
+            power, _ = _tables(block)
+            h, step, scale = 0, pow(_P, block, 1 << 64), 1
+            for a in range(base, int(end[lo]), block):
+                part = data[a : min(a + block, int(end[lo]))]
+                h = (h + int((_BYTE[part] * power[: len(part)]).sum(dtype=U64)) * scale) % (1 << 64)
+                scale = scale * step % (1 << 64)
+            out[lo : lo + 1] = mix(np.array([h], U64))
+            lo += 1
+            continue
         hi = max(lo + 1, int(np.searchsorted(end, base + block, "right")))
         part = data[base : int(end[hi - 1])]
         power, inverse = _tables(len(part) + 1)
