@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from changeloom.llm import kernels as K
-from changeloom.llm.common import bounded_sample, fresh
+from changeloom.llm.common import bounded_batches, bounded_sample, fresh
 from changeloom.llm.svm import fit_dual
 
 FAMILIES = {
@@ -26,15 +26,18 @@ FAMILIES = {
     **dict.fromkeys(("pl", "cs", "sk", "ru", "uk", "bg", "hr", "sr", "sl"), "slavic"),
 }
 BITS, ORDERS, SCALE = 16, (2, 3, 4), 32.0
-#: A text with fewer n-grams has its margin shrunk in proportion: it is little evidence against the declared language.
-ENOUGH = 300
+#: Neutral n-grams that each text's margin is shrunk by, as if it had so many more: little text is little evidence.
+PRIOR = 100
 #: Rows for each language that the fit looks at, at most (in expectation).
 TRAIN_PER_LANGUAGE = 800
 SCHEMA = "doc_id long, family string, lang_pred string, margin double, lang string, accepted boolean"
 
 
-def _grams(data: np.ndarray, off: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Hashed n-grams by order, and their row starts. Runs of anything but letters count as one blank."""
+def _grams(data: np.ndarray, off: np.ndarray, before: int = 0) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Hashed n-grams by order, and their row starts. Runs of anything but letters count as one blank.
+
+    before: so many bytes belong to a part of the row that was read before, so n-grams that lie in them aren't given again.
+    """
     cls = K.classes(data)
     digit = (data >= 48) & (data <= 57)
     blank = (cls != K.WORD) | digit
@@ -54,16 +57,44 @@ def _grams(data: np.ndarray, off: np.ndarray) -> Iterator[tuple[np.ndarray, np.n
         g = g[:m] * np.uint32(0x01000193) + d[k:]
         if k + 1 in ORDERS:
             ok = row_end[:m] > np.arange(m) + k
+            if before:
+                ok &= at[k : k + m] >= before
             h = (g[ok] * np.uint32(0x9E3779B1)) >> np.uint32(32 - BITS)
             yield h, np.searchsorted(np.flatnonzero(ok), starts)
 
 
+def _in_parts(part: np.ndarray, size: int = K.SLICE) -> Iterator[np.ndarray]:
+    """Hashed n-grams of one row, some at a time, each once. A part is read with what the n-grams that reach into it need from before it."""
+    n, lo = len(part), 0
+    while lo < n:
+        hi, back = min(n, lo + size), lo
+        while hi < n and part[hi] & 0xC0 == 0x80:  # not within a character
+            hi -= 1
+        if lo:
+            # From the third symbol before: three changes of blank and letter, or three letters, whichever is further back.
+            kept = 0
+            while back and kept <= max(ORDERS):
+                step = max(0, back - 64)
+                while step and part[step] & 0xC0 == 0x80:
+                    step -= 1
+                back, kept = step, _symbols(part[step:lo])
+        for h, _ in _grams(part[back:hi], np.array([0, hi - back]), lo - back):
+            yield h
+        lo = hi
+
+
+def _symbols(part: np.ndarray) -> int:
+    blank = (K.classes(part) != K.WORD) | ((part >= 48) & (part <= 57))
+    return int((~blank).sum() + (blank[1:] & ~blank[:-1]).sum())
+
+
 def features(data: np.ndarray, off: np.ndarray, r: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct hashed n-grams of one row and their scaled frequencies."""
-    part = data[off[r] : off[r + 1]]
-    hs = [h for h, _ in _grams(part, np.array([0, len(part)]))]
-    k, c = np.unique(np.concatenate(hs), return_counts=True) if hs else (np.empty(0, np.uint32), np.empty(0))
-    return k.astype(np.int32), (c * (SCALE / max(1, c.sum()))).astype(np.float32)
+    c = np.zeros(1 << BITS)
+    for h in _in_parts(data[off[r] : off[r + 1]]):
+        c += np.bincount(h, minlength=1 << BITS)
+    k = np.flatnonzero(c)
+    return k.astype(np.int32), (c[k] * (SCALE / max(1, c.sum()))).astype(np.float32)
 
 
 @dataclass
@@ -80,6 +111,11 @@ class Model:
         total, count = np.zeros((len(off) - 1, len(self.pairs))), np.zeros(len(off) - 1)
         for lo, hi in K.slices(off):
             part, o = data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo]
+            if len(part) > 2 * K.SLICE:  # one long row
+                for h in _in_parts(part):
+                    total[lo] += self.weights[h].sum(0, dtype=float)
+                    count[lo] += len(h)
+                continue
             for h, starts in _grams(part, o):
                 total[lo:hi] += K.row_sums(self.weights[h], starts)
                 count[lo:hi] += np.diff(starts)
@@ -116,7 +152,7 @@ class Model:
                 family[at] = f
                 lang[at] = np.array(self.families[f], object)[best]
                 margin[at] = np.minimum(margin[at], least)
-        margin = np.where(np.isinf(margin), 1.0, margin) * np.minimum(1, count / ENOUGH)
+        margin = np.where(np.isinf(margin), 1.0, margin) * (count / (count + PRIOR))
         return list(family), list(lang), margin
 
 
@@ -125,8 +161,10 @@ def fit(docs: DataFrame, per_language: int = TRAIN_PER_LANGUAGE, id_col: str = "
 
     Rows whose language or text is null aren't used. No usable row: a model that answers "und" for everything.
     """
+    bounded_batches(docs)
     rows = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.col(lang_col).alias("l")).where("l is not null and t is not null")
 
+    @K.lean
     def extract(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
             data, off = K.text_of(b.column(0), lower=True)
@@ -149,7 +187,7 @@ def fit(docs: DataFrame, per_language: int = TRAIN_PER_LANGUAGE, id_col: str = "
             rows_ = np.flatnonzero((of == a) | (of == b))
             y = np.where(of[rows_] == a, 1, -1)
             ptr = np.concatenate([[0], np.cumsum([len(idx[i]) for i in rows_])])
-            w, bias = fit_dual(ptr, np.concatenate([idx[i] for i in rows_]), np.concatenate([val[i] for i in rows_]).astype(float), y, 1 << BITS, epochs=12)
+            w, bias = fit_dual(ptr, np.concatenate([idx[i] for i in rows_]), np.concatenate([val[i] for i in rows_]).astype(float), y, 1 << BITS)
             pairs.append((level, a, b))
             ws.append(w)
             bs.append(bias)
@@ -165,14 +203,16 @@ def accepts(pred: list[str], margin: np.ndarray, declared: list[str | None], kno
 def identify(docs: DataFrame, model: Model, reject_margin: float = 0.5, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """One row for each document: id, family, predicted language, margin, declared language, accepted.
 
-    The margin is the least decision value among the machines that the winning language was compared in, shrunk for short texts. Null and empty
+    The margin is the least decision value among the machines that the winning language was compared in, shrunk by PRIOR neutral n-grams. Null and empty
     texts, and texts without letters, get family and language "und", margin 0, and aren't accepted. A null declared language is
     accepted with any prediction. Repeated rows get equal answers; a tie in votes goes to the larger sum of
     margins, then to the name that sorts first. Other columns are ignored, whatever their names.
     """
+    bounded_batches(docs)
     known = {x for v in model.families.values() for x in v}
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
+    @K.lean
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for b in it:
@@ -185,10 +225,12 @@ def identify(docs: DataFrame, model: Model, reject_margin: float = 0.5, id_col:
 
 def keep_identified(docs: DataFrame, model: Model, reject_margin: float = 0.5, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """The rows of docs that `identify` accepts, with all their columns; a map, no join."""
+    bounded_batches(docs)
     known = {x for v in model.families.values() for x in v}
     shared = docs.sparkSession.sparkContext.broadcast(model)
     t, d = fresh(docs, "t", "d")
 
+    @K.lean
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for b in it:
