@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from changeloom.llm import kernels as K
 from changeloom.llm import neardup
-from changeloom.llm.common import bounded_sample, work_dir
+from changeloom.llm.common import bounded_batches, bounded_sample, work_dir
 
 BITS = 20
 #: Tokens of a piece of a chain: all pieces move together, and messages are carried from one to the next.
@@ -230,6 +230,7 @@ def _listed(ids: DataFrame) -> Callable[[Column], Column]:
     return listed
 
 
+@K.lean
 def _marks(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(k, i, y, t) to (k, i, y, m) for the rows with a word: m has 12 minima of the hashed word triples."""
     for b in it:
@@ -248,6 +249,7 @@ def _marks(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 _THREE = [np.array(list(combinations(range(n), 3)), int).reshape(-1, 3) for n in range(13)]
 
 
+@K.lean
 def _threes(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(k, i, y, p, m) to (k, i, y, h): a hash of each three of the row's marks m at the places p."""
     for b in it:
@@ -290,6 +292,7 @@ def _summed(f: list[np.ndarray], n: list[np.ndarray]) -> tuple[np.ndarray, np.nd
     return u, np.stack([np.bincount(at, v[:, y], len(u)) for y in (0, 1)], 1).astype(np.int64)
 
 
+@K.lean
 def _counts(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(y, t) to (f, neg, pos): rows of each label by feature, and all rows with a word as feature -1. A feature may come more than once."""
 
@@ -352,6 +355,7 @@ def _sentences(hot: np.ndarray, clean: int):
     x and c are the tokens' own and context features, s numbers the sentences within the row, g has the tags. Toxic rows without a toxic token give nothing.
     """
 
+    @K.lean
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
             key, label = b.column(0).to_numpy(), b.column(2).to_numpy()
@@ -389,12 +393,14 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, epochs: int
 
     Null labels, and labels without a document or text, aren't used. Without toxic documents the model calls nothing toxic.
     """
+    bounded_batches(docs)
     base = work_dir(docs.sparkSession, "toxicity")
     lab = labels.select(F.col(id_col).cast("long").alias("i"), F.col(label_col).cast("int").alias("y")).where("y in (0, 1) and i is not null").distinct()
     text = docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("t")).where("t is not null and i is not null")
     # Of the texts only the labelled ones and a few more are shuffled.
     some = text.where(_listed(lab.select(F.xxhash64("i").alias("k")))(F.xxhash64("i")))
-    some.join(lab, "i").select(F.xxhash64("i", "y", "t").alias("k"), "i", "y", "t").write.parquet(f"{base}/labelled")
+    # The same join at every size: labels grow with the documents, so they aren't broadcast.
+    some.join(lab.hint("merge"), "i").select(F.xxhash64("i", "y", "t").alias("k"), "i", "y", "t").write.parquet(f"{base}/labelled")
     kept = distinct_rows(docs.sparkSession.read.parquet(f"{base}/labelled"), base)
     hot = toxic_features(kept, base)
     none = Weights(np.empty(0, np.uint32), np.empty(0))
@@ -445,21 +451,29 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD, id_col: s
     noise that a long text would add up. A span is a token with a marginal of at least the threshold, as (start, end) in the original UTF-8 bytes. Null and
     empty texts score 0 and have no spans. Repeated rows get equal answers. Other columns are ignored, whatever their names.
     """
+    bounded_batches(docs)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
+    @K.lean
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for b in it:
             data, off = K.text_of(b.column(1))
-            for lo, hi in K.slices(off):
-                n = hi - lo
-                p, t = m.marginals(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
+            n = b.num_rows
+            # Long rows are read in parts that end with a sentence, so no chain is cut.
+            cuts, of = K.cut_rows(data, off, lambda d: (d == 10) | (d == 46) | (d == 33) | (d == 63))
+            clean, most, spans = np.zeros(n), np.zeros(n), []
+            for lo, hi in K.slices(cuts):
+                p, t = m.marginals(data[cuts[lo] : cuts[hi]], cuts[lo : hi + 1] - cuts[lo])
+                row = of[lo + t.row]
+                np.maximum.at(most, of[lo:hi], -K.row_mins(-p, K.row_starts(t.row, hi - lo), 0))
                 hot = np.flatnonzero(p >= threshold)
-                clean = np.bincount(t.row[hot], weights=np.log1p(-np.minimum(p[hot], 1 - 1e-12)), minlength=n)
-                s = np.maximum(1 - np.exp(clean), -K.row_mins(-p, K.row_starts(t.row, n), 0))
-                edge = np.searchsorted(t.row[hot], np.arange(n + 1)).astype(np.int32)
-                base = off[lo + t.row[hot]] - off[lo]
-                cols = [pa.ListArray.from_arrays(pa.array(edge), pa.array(v)) for v in ((t.start[hot] - base).astype(np.int32), (t.end[hot] - base).astype(np.int32), p[hot].astype(np.float32))]
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, n), pa.array(s), pa.array(s >= threshold), *cols], names=["doc_id", "score", "toxic", "starts", "ends", "marginals"])
+                clean += np.bincount(row[hot], weights=np.log1p(-np.minimum(p[hot], 1 - 1e-12)), minlength=n)
+                base = off[row[hot]] - cuts[lo]
+                spans.append((row[hot], (t.start[hot] - base).astype(np.int32), (t.end[hot] - base).astype(np.int32), p[hot].astype(np.float32)))
+            row, *found = (np.concatenate(v) for v in zip(*spans, strict=True)) if spans else (np.empty(0, np.int64), np.empty(0, np.int32), np.empty(0, np.int32), np.empty(0, np.float32))
+            s = np.maximum(1 - np.exp(clean), most)
+            edge = pa.array(np.searchsorted(row, np.arange(n + 1)).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s), pa.array(s >= threshold), *(pa.ListArray.from_arrays(edge, pa.array(v)) for v in found)], names=["doc_id", "score", "toxic", "starts", "ends", "marginals"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, SCHEMA)
