@@ -17,6 +17,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from changeloom.llm import kernels as K
+from changeloom.llm.common import bounded_batches
+
 SKIPPABLE, FOOTER = 0x184D2A5E, 0x8F92EAB1
 FRAME, BUNDLE = 256 << 10, 64 << 20
 INDEX = "page_id long, bundle string, frame int, frame_start long, frame_size long, offset long, length long, sha1 string"
@@ -121,11 +124,13 @@ def bundle(pages: DataFrame, out_dir: str, frame: int = FRAME, bundle_bytes: int
     a name of its own and then renames. Bundles hold about bundle_bytes of pages before compression. Null urls and pages are written as empty, a null id as an
     empty one; repeated rows become records of their own. A page longer than a frame gets a frame of its own. No page: no bundle and an empty index. Other columns are ignored.
     """
+    bounded_batches(pages)
     src = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
     total = src.agg(F.sum(F.coalesce(F.octet_length("html"), F.lit(0)) + 512)).first()[0] or 0
     n = max(1, -(-total // bundle_bytes))
     root = out_dir if "://" in out_dir else "file://" + out_dir.removeprefix("file:")
 
+    @K.lean
     def write(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import uuid
 

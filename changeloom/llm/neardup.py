@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from changeloom.llm import kernels as K
-from changeloom.llm.common import fresh, quoted, work_dir
+from changeloom.llm.common import bounded_batches, fresh, quoted, work_dir
 from changeloom.llm.components import connected
 
 SHINGLE, THRESHOLD = 3, 0.55
@@ -115,6 +115,7 @@ def band_hashes(regs: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
 
 
+@K.lean
 def _sketch(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(k, doc_id, text) to (k, doc_id, e1, e2, regs, bands); bands are null where there is no word, e1 and e2 where there is no text.
 
@@ -149,6 +150,7 @@ def _sets(words: np.ndarray):
     """(k, text) to (k, x) for the rows whose key's bit is set: x has the distinct shingles."""
     shared = words.tobytes()
 
+    @K.lean
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.frombuffer(shared, np.uint64)
         for b in it:
@@ -179,6 +181,7 @@ def _filter_of(ids: DataFrame) -> np.ndarray:
 
 
 def _estimate(least: float):
+    @K.lean
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
             for lo in range(0, b.num_rows, 4096):
@@ -194,6 +197,7 @@ def near_groups(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "do
 
     root is the key of the group's document with the least doc_id (nulls first); copy numbers the rows with one key.
     """
+    bounded_batches(docs)
     spark = docs.sparkSession
     base = work_dir(spark, "neardup")
     src = docs.select(F.xxhash64(F.col(id_col), F.col(text_col)).alias("k"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))

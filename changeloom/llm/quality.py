@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from changeloom.llm import kernels as K
-from changeloom.llm.common import bounded_sample, fresh
+from changeloom.llm.common import bounded_batches, bounded_sample, fresh
 from changeloom.llm.svm import fit_dual
 
 BITS = 18
@@ -31,8 +31,8 @@ _KIND[65:91] = 2
 _KIND[48:58] = 4
 
 
-def indicators(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct hashed n-grams of each row as (row, feature), sorted by row."""
+def indicators(data: np.ndarray, off: np.ndarray, skip: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct hashed n-grams of each row as (row, feature), sorted by row. skip: n-grams of the first row that are left out at its start."""
     r = K.Runs(data, off)
     if not len(r.hash):
         return np.empty(0, np.int64), np.empty(0, np.int64)
@@ -50,12 +50,36 @@ def indicators(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarra
             g, row = K.ngrams(stream, r.row, n)
             if stream is shape:
                 g = K.mix(g ^ K.U64(0x1234567))
+            g, row = g[skip:], row[skip:]
             keys.append((row << BITS) | (g >> K.U64(64 - BITS)).astype(np.int64))
     k = np.sort(np.concatenate(keys))
     k = k[np.concatenate([[True], k[1:] != k[:-1]])] if len(k) else k
     return k >> BITS, k & ((1 << BITS) - 1)
 
 
+def in_parts(data: np.ndarray, off: np.ndarray, size: int = K.SLICE) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(lo, hi, row, feature): `indicators` of rows lo to hi. A long row is read in parts that overlap by three whole tokens and the one before them."""
+    for lo, hi in K.slices(off, size):
+        data_, o = data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo]
+        if len(data_) <= 2 * size:
+            yield lo, hi, *indicators(data_, o)
+            continue
+        cuts, _ = K.cut_rows(data_, o, lambda d: d <= 32, size)
+        found = np.empty(0, np.int64)
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            back, from_, step = [], a, 256
+            while from_ and len(back) < 5:
+                from_ = max(0, a - step)
+                while from_ and data_[from_] & 0xC0 == 0x80:
+                    from_ -= 1
+                back = K.Runs(data_[from_:a], np.array([0, a - from_])).start + from_
+                step *= 4
+            begin = int(back[-4]) if len(back) > 4 or (from_ == 0 and len(back) > 3) else 0
+            _, f = indicators(data_[begin:b], np.array([0, b - begin]), int(begin > 0))
+            found = np.union1d(found, f)
+        yield lo, hi, np.zeros(len(found), np.int64), found
+
+
 @dataclass
 class Model:
     weight: np.ndarray  # log-count ratio times hinge-loss weight, by hashed n-gram
@@ -64,8 +88,7 @@ class Model:
     def scores(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Decision values (above 0: good), and whether the row has a token."""
         out, any_ = np.empty(len(off) - 1), np.zeros(len(off) - 1, bool)
-        for lo, hi in K.slices(off):
-            row, f = indicators(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
+        for lo, hi, row, f in in_parts(data, off):
             starts = K.row_starts(row, hi - lo)
             n = np.diff(starts)
             out[lo:hi] = K.row_sums(self.weight[f], starts) / np.sqrt(np.maximum(1, n)) + self.bias
@@ -79,16 +102,17 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, smooth: floa
     Labels that are null, and labels whose document is missing or has no text, aren't used. A document with several labels
     counts once for each distinct one. With one class only, every document gets that class; with none, every one is kept.
     """
+    bounded_batches(docs)
     lab = labels.select(F.col(id_col).alias("i"), F.col(label_col).cast("int").alias("y")).where("y in (0, 1) and i is not null").distinct()
     lab = bounded_sample(lab, F.col("i"), rows, F.col("y"))
     text = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).where("t is not null")
 
+    @K.lean
     def extract(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
             data, off = K.text_of(b.column(0))
             feats: list[bytes] = []
-            for lo, hi in K.slices(off):
-                row, f = indicators(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
+            for lo, hi, row, f in in_parts(data, off):
                 s = K.row_starts(row, hi - lo)
                 feats += [f[s[i] : s[i + 1]].astype(np.int32).tobytes() for i in range(hi - lo)]
             yield pa.RecordBatch.from_arrays([b.column(1), b.column(2), pa.array(feats, pa.binary())], names=["i", "y", "f"])
@@ -116,8 +140,10 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     Null texts, empty ones and ones of white space alone have no n-gram: they get score -1 and quality 0. Repeated rows
     get equal scores. A score of exactly 0 counts as 0. Other columns are ignored, whatever their names.
     """
+    bounded_batches(docs)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
+    @K.lean
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
             s, any_ = shared.value.scores(*K.text_of(b.column(1)))
@@ -129,9 +155,11 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 def keep_good(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """The rows of docs with quality 1 by `score`, with all their columns; a map, no join."""
+    bounded_batches(docs)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     (t,) = fresh(docs, "t")
 
+    @K.lean
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
             s, any_ = shared.value.scores(*K.text_of(b.column(b.num_columns - 1)))

@@ -22,12 +22,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from changeloom.llm import kernels as K
+from changeloom.llm.common import bounded_batches
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁".encode()
 SCHEMA = "doc_id long, ids array<int>, starts array<int>, ends array<int>, round_trip boolean"
 #: Bytes of text whose distinct words are encoded together.
-CHUNK = 4 << 20
+CHUNK = 1 << 20
 
 
 class CharsMap:
@@ -287,6 +288,8 @@ def encode(docs: DataFrame, model: str = MODEL, id_col: str = "doc_id", text_col
     sequence's start. round_trip says whether decoding the ids gives the text back (it does but where normalisation changed the text). A null text has null ids
     and spans, an empty one empty ones. Repeated rows are encoded alike. `model` is a path that executors can read. Other columns are ignored.
     """
+    bounded_batches(docs)
+    @K.lean
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec(model)
         for b in it:
@@ -306,6 +309,8 @@ def encode(docs: DataFrame, model: str = MODEL, id_col: str = "doc_id", text_col
 
 def decode(encoded: DataFrame, model: str = MODEL, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
     """(doc_id, text) from piece ids. Null ids give a null text, empty ones an empty text; bytes that aren't UTF-8 become U+FFFD."""
+    bounded_batches(encoded)
+    @K.lean
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec(model)
         for b in it:

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from changeloom.llm import kernels as K
+from changeloom.llm.common import bounded_batches
 
 KEYS = ("source", "lang", "tokenizer")
 DELTA = "source string, lang string, tokenizer string, docs long, tokens long"
@@ -76,8 +77,10 @@ def count_tokens(docs: DataFrame, tokenizers: dict[str, str] | None = None, id_c
 
     A null or empty text has no tokens. Null sources and languages stay null. Repeated rows are counted each. Other columns are ignored.
     """
+    bounded_batches(docs)
     names = TOKENIZERS if tokenizers is None else tokenizers
 
+    @K.lean
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counters = [Counter(p) if p else None for p in names.values()]
         for b in it:
