@@ -18,9 +18,8 @@ def rule(f: Callable[[Parser, Add], None]) -> Callable[[Parser, Add], None]:
 
 
 def run(p: Parser, add: Add) -> None:
-    if p.s.broken:
-        return
-    for f in RULES:
+    # A file that doesn't parse has only the findings that need no parse.
+    for f in (suppressions, doc_tags) if p.s.broken else RULES:
         f(p, add)
 
 
@@ -64,15 +63,14 @@ def async_methods(p: Parser, add: Add) -> None:
     for _, m in methods(p):
         if "async" not in m.mods:
             continue
-        at = line(p, m.name_at)
-        first = line(p, m.first)
+        at = first = line(p, m.first)
         handler = len(m.params) == 2 and m.params[0][0].rstrip("?") in ("object", "Object", "System.Object") and m.params[1][0].rstrip("?").endswith("EventArgs")
         command = "override" in m.mods and m.name == "Execute" and len(m.params) == 1 and m.params[0][0].rstrip("?") == "object"
         if m.type == "void" and not handler and not command:
-            add("async-void", "Important", at, f"Method '{m.name}' is async void: its exceptions can't be awaited. Return a Task.", first)
+            add("async-void", "Important", at, f"Suspicious 'async void' method '{m.name}': its exceptions can't be awaited. Return a Task.", first)
         tested = {"Test", "TestCase", "TestCaseSource", "Fact", "Theory", "TestMethod", "DataTestMethod", "SetUp", "TearDown", "OneTimeSetUp", "OneTimeTearDown"} & set(m.attrs)
         if m.mods & {"public", "private", "internal"} and not m.name.endswith("Async") and "override" not in m.mods and not m.explicit and not tested:
-            add("async-method-name-suffix", "Hint", at, f"Async method '{m.name}' has no 'Async' suffix.", first)
+            add("async-method-name-suffix", "Hint", at, f"Async method '{m.name}' lacks the suffix 'Async'.", first)
 
 
 @rule
@@ -92,42 +90,41 @@ def properties(p: Parser, add: Add) -> None:
             body = [p.x(j) for j in range(k, e)]
             wraps = body in (["=>", got, "=", "value", ";"], ["{", got, "=", "value", ";", "}"])
         if wraps and not private(d, m):
-            add("property-can-be-auto-property", "Hint", first, f"Property '{m.name}' only wraps field '{got}' and can be an auto-property.", first)
+            add("property-can-be-auto-property", "Hint", first, f"Property '{m.name}' only wraps field `{got}` and can be an auto-property.", first)
         if private(d, m):
             if auto and list(names) == ["get"]:
-                add("private-get-only-auto-property-should-be-field", "Hint", first, f"Private get-only property '{m.name}' can be a readonly field.", first)
+                add("private-get-only-auto-property-should-be-field", "Hint", first, f"Private get-only auto property `{m.name}` can be a field.", first)
             elif (auto and {"get", "set"} <= set(names)) or wraps:
-                add("private-property-should-be-field", "Hint", first, f"Private property '{m.name}' can be a field.", first)
+                add("private-property-should-be-field", "Hint", first, f"Private property '{m.name}' looks like a field and can be one.", first)
 
 
 @rule
 def method_spacing(p: Parser, add: Add) -> None:
     for d in p.types:
-        for a, b in pairwise(d.members):
-            if a.kind == b.kind == "method" and a.body and b.body and not a.arrow and not b.arrow and line(p, b.first) <= line(p, a.last) + 1:
-                docs = [n for n, _ in p.s.docs if line(p, a.last) < n < line(p, b.first)]
-                if not docs:
-                    add("missing-blank-line-between-methods", "Hint", line(p, b.first), f"No blank line between methods '{a.name}' and '{b.name}'.", line(p, b.first))
+        for a, b in pairwise([m for m in d.members if m.kind == "method" and m.body and not m.arrow]):
+            if line(p, b.first) <= end_line(p, a.last) + 1:  # either method's lines count
+                add("missing-blank-line-between-methods", "Hint", line(p, b.first), f"No blank line between methods `{a.name}` and `{b.name}`.", line(p, a.first), end_line(p, b.last))
 
 
 @rule
 def shapes(p: Parser, add: Add) -> None:
     for d, m in methods(p, "method", "ctor"):
         if len(m.params) >= 8:
-            add("method-parameter-count", "Hint", line(p, m.name_at), f"'{m.name}' has {len(m.params)} parameters. Consider a parameter object.", line(p, m.first))
+            add("method-parameter-count", "Hint", line(p, m.first), f"{'Constructor' if m.kind == 'ctor' else 'Method'} '{m.name}' has {len(m.params)} parameters. Consider a parameter object.", line(p, m.first))
         if m.kind == "ctor" and m.body and not m.arrow:
             rows = p.s.text[p.t[m.body[0]].at + 1 : p.t[m.body[1]].at].split("\n")
             n = sum(1 for r in rows if r.strip() and not r.strip().startswith("//"))
             if n >= 20:
-                add("constructor-too-long", "Suggestion", line(p, m.name_at), f"Constructor of '{d.name}' has {n} lines of code. Consider moving work out of it.", line(p, m.first))
+                add("constructor-too-long", "Suggestion", line(p, m.first), f"Constructor '{d.name}' has {n} code lines. Consider moving work out of it.", line(p, m.first), end_line(p, m.last))
     for d in p.types:
         if d.kind == "class" and re.search(r"(Utils|Helper|Manager|Utilities)$", d.name):
-            add("generic-type-name-suffix", "Hint", line(p, d.name_at), f"Class name '{d.name}' has a generic suffix. Consider a more specific name.", line(p, d.first))
+            suffix = re.search(r"(Utils|Helper|Manager|Utilities)$", d.name)[1]
+            add("generic-type-name-suffix", "Hint", line(p, d.first), f"Class name '{d.name}' has the generic suffix '{suffix}'. Consider a more specific name.")
     top = [d for d in p.types if d.kind == "class" and d.outer is None]
     if len(top) > 1:
         # The second class triggers; where it isn't new, the first later one that is.
         for d in top[1:]:
-            add("multiple-classes-per-file", "Hint", line(p, d.name_at), f"File declares {len(top)} top-level classes.", line(p, d.first), extra="once")
+            add("multiple-classes-per-file", "Hint", line(p, d.first), f"File defines {len(top)} classes at its top level.", line(p, d.first), end_line(p, d.close), extra="once")
 
 
 @rule
@@ -171,7 +168,7 @@ def calls(p: Parser, add: Add) -> None:
             add("thread-sleep", "Suggestion", t.line, "Thread.Sleep blocks the thread. Consider an awaited delay or a wait with a signal.")
         if t.text == "Run" and p.x(k - 1) == "." and p.x(k - 2) == "Task" and p.x(k + 2) == "async":
             add("task-run-async", "Suggestion", t.line, "Task.Run with an async lambda. Consider calling the async method directly.", t.line)
-        if t.text in KEYWORDS - {"this", "base", "new"} or p.pair[k + 1] < 0:
+        if t.text in KEYWORDS or p.pair[k + 1] < 0 or _made(p, k):
             continue
         for rule_id, words, what in (("consecutive-boolean-arguments", ("true", "false"), "boolean"), ("consecutive-null-arguments", ("null",), "null")):
             run_: list[int] = []
@@ -179,12 +176,18 @@ def calls(p: Parser, add: Add) -> None:
                 if e == a + 1 and p.x(a) in words:
                     run_.append(a)
                     continue
-                if len(run_) >= 2:
-                    add(rule_id, "Hint", line(p, run_[0]), f"Call of '{t.text}' passes {len(run_)} {what} literals in a row. Consider named arguments.", line(p, run_[0]), line(p, run_[-1]), extra=f"{k}")
-                    break
+                if len(run_) >= 2:  # of a call's runs the first that the scope touches counts
+                    add(rule_id, "Hint", line(p, run_[0]), f"Consecutive {what} literal arguments of '{t.text}'. Consider named arguments.", line(p, run_[0]), line(p, run_[-1]), extra=f"call {k}")
                 run_ = []
 
 
+def _made(p: Parser, k: int) -> bool:
+    """Whether the name at k is that of a created object or of an attribute, not of something called."""
+    while p.x(k - 1) in (".", "::") and p.kind(k - 2) == "id":
+        k -= 2
+    return p.x(k - 1) == "new" or _is_attribute(p, k)
+
+
 @rule
 def throws(p: Parser, add: Add) -> None:
     for k, t in enumerate(p.t):
@@ -202,7 +205,7 @@ def throws(p: Parser, add: Add) -> None:
                 j = p.pair[inner] + 1
                 continue
             if p.x(j) == "throw" and p.x(j + 1) == name and p.x(j + 2) == ";":
-                add("throw-ex-in-catch", "Important", line(p, j), f"'throw {name};' resets the stack trace. Use 'throw;'.", line(p, j))
+                add("throw-ex-in-catch", "Important", line(p, j), f"`throw {name};` loses the stack trace. Use `throw;`.", line(p, j))
             j += 1
 
 
@@ -212,9 +215,9 @@ def statics(p: Parser, add: Add) -> None:
         if not {"public", "static"} <= m.mods:
             continue
         if m.kind == "field" and not m.mods & {"readonly", "const"}:
-            add("public-mutable-static-state", "Important", line(p, m.name_at), f"Public static field '{m.name}' can be changed from anywhere.", line(p, m.first))
+            add("public-mutable-static-state", "Important", line(p, m.name_at), f"Public static field `{m.name}` is mutable global state.", line(p, m.name_at), end_line(p, m.init[1] - 1) if m.init else line(p, m.name_at))
         elif m.kind == "property" and "set" in accessors(p, m):
-            add("public-mutable-static-state", "Important", line(p, m.name_at), f"Public static property '{m.name}' has a public setter.", line(p, m.first))
+            add("public-mutable-static-state", "Important", line(p, m.first), f"Public static property `{m.name}` is mutable global state.", line(p, m.first), end_line(p, m.last))
 
 
 @rule
@@ -236,37 +239,46 @@ def doc_tags(p: Parser, add: Add) -> None:
         for m in re.finditer(r"<(summary|param|returns)\b([^>]*?)(/>|>(.*?)</\1\s*>)", joined, re.S):
             if m[3] == "/>" or not m[4].strip():
                 a, e = where(m.start()), where(m.end() - 1)
-                add("empty-xml-doc-content", "Hint", a, f"XML doc tag '{m[1]}' is empty.", a, e)
+                add("empty-xml-doc-content", "Hint", a, f"XML doc tag `{m[1]}` is empty.", a, e)
 
 
 @rule
 def public_methods(p: Parser, add: Add) -> None:
     for d, m in methods(p):
-        if d.kind in ("class", "record", "struct") and "public" in d.mods and "public" in m.mods and not m.mods & {"override", "abstract", "extern", "partial"} and not set(d.attrs) & {"TestFixture", "TestClass"} and not d.name.endswith("Tests") and m.name not in ("Dispose", "ToString", "Equals", "GetHashCode", "Main") and m.body:
-            add("missing-tests-public-methods", "Suggestion", line(p, m.name_at), m.name, line(p, m.first), extra=d.name)
+        fixture = {a.split(".")[-1].lower() for a in d.attrs} & {"testfixture", "textfixture"}
+        disposes = m.name in ("Dispose", "DisposeAsync") and not m.params
+        if d.kind != "interface" and "public" in m.mods and not m.mods & {"override", "abstract", "extern"} and not fixture and not disposes and m.body:
+            add("missing-tests-public-methods", "Suggestion", line(p, m.first), m.name, line(p, m.first), extra=d.name)
 
 
 @rule
 def suppressions(p: Parser, add: Add) -> None:
     for k, t in enumerate(p.t):
         if t.kind == "dir" and re.match(r"#\s*pragma\s+warning\s+disable\b", t.text):
-            add("warning-suppression", "Important", t.line, "A pragma disables a compiler warning.")
+            add("warning-suppression", "Important", t.line, "Warning suppression by `#pragma warning disable`.")
         elif t.text in ("SuppressMessage", "SuppressMessageAttribute") and _is_attribute(p, k):
-            add("warning-suppression", "Important", t.line, "An attribute suppresses a warning.")
+            add("warning-suppression", "Important", t.line, "Warning suppression by `[SuppressMessage]`.")
 
 
 def _is_attribute(p: Parser, k: int) -> bool:
     j = k - 1
     while p.x(j) == "." and p.kind(j - 1) == "id":
         j -= 2
-    return p.x(j) == "[" or (p.x(j) == ":" and p.x(j - 2) == "[") or (p.x(j) == "," and any(p.x(i) == "[" and p.pair[i] > k for i in range(max(0, j - 60), j)))
+    return p.x(j) == "[" or (p.x(j) == ":" and p.x(j - 2) == "[") or (p.x(j) == "," and _in_attribute_list(p, j))
+
+
+def _in_attribute_list(p: Parser, j: int) -> bool:
+    """Whether the comma at j parts two attributes of a list: going back over whole brackets, a [ comes before a statement's end."""
+    while j > 0 and p.x(j) not in (";", "{", "}", "(", "["):
+        j = p.pair[j] - 1 if p.x(j) in (")", "]") and p.pair[j] >= 0 else j - 1
+    return p.x(j) == "["
 
 
 @rule
 def verbatim(p: Parser, add: Add) -> None:
     for t in p.t:
         if t.kind == "str" and re.match(r'@"|\$@"|@\$"', t.text) and not re.search(r'[\\\n]|""', t.text[t.text.index('"') + 1 : -1]):
-            add("unnecessary-verbatim-string-prefix", "Hint", t.line, "Verbatim prefix '@' isn't needed for this string.", t.line)
+            add("unnecessary-verbatim-string-prefix", "Hint", t.line, "Verbatim prefix `@` isn't needed for this string.", t.line, t.line + t.text.count("\n"))
 
 
 def _bodies(p: Parser) -> list[tuple[TypeDecl, Member]]:
@@ -280,16 +292,16 @@ def local_variables(p: Parser, add: Add) -> None:
         for kind, name, at, init, stop in p.locals(a + 1, b):
             n = line(p, at)
             if re.match(r"m_|_.", name):
-                add("local-variable-prefix", "Hint", n, f"Local variable '{name}' is named like a field.", n)
+                add("local-variable-prefix", "Hint", n, f"Local variable `{name}` has a prefix like a field.", n)
             refs = [k for k in uses(p, name, a, b) if k != at]
             stored = in_strings(p, name, a, b)
             const = p.x(at - 2) == "const" or any(p.x(j) == "const" for j in range(max(a, at - 4), at) if p.at_start(j))
             using = any(p.x(j) == "using" for j in range(max(a, at - 5), at))
             if not using and not stored and all(p.x(k + 1) == "=" and p.at_start(k) for k in refs):
-                add("unused-local-variable", "Hint", n, f"Local variable '{name}' is never read.", n)
+                add("unused-local-variable", "Hint", n, f"Local variable `{name}` is never read.", n)
             lit = init >= 0 and (stop == init + 1 or (stop == init + 2 and p.x(init) == "-")) and (p.kind(stop - 1) in ("num", "str", "chr") or p.x(stop - 1) in ("true", "false")) and "$" not in p.x(init)[:2]
             if lit and not const and kind in CONST_TYPES and (refs or stored) and p.x(stop) == ";" and p.x(at - 2) != "(" and not any(written(p, k) for k in refs) and p.x(at - 1) != ",":
-                add("local-variable-can-be-const", "Hint", n, f"Local variable '{name}' can be const.", n)
+                add("local-variable-can-be-const", "Hint", n, f"Local variable `{name}` can be `const`.", n)
 
 
 @rule
@@ -306,7 +318,7 @@ def enums(p: Parser, add: Add) -> None:
             value = _integer(text)
             if value is not None and before is not None and value == before + 1 and "<<" not in text:
                 n = line(p, m.name_at)
-                add("unnecessary-enum-member-value", "Hint", n, f"Enum member '{m.name}' has the value that it would get anyway.", n)
+                add("unnecessary-enum-member-value", "Hint", n, f"Enum member `{m.name}` has the explicit value `{text}` that it would get anyway.", n, end_line(p, m.init[1] - 1))
             before = value
 
 
@@ -321,7 +333,7 @@ def self_lookup(p: Parser, add: Add) -> None:
         own = {d.name, *(b.split("<")[0].split(".")[-1] for b in d.bases)}
         for k in range(*m.body):
             if p.x(k) in own and p.x(k + 1) == "." and p.x(k + 2) == f"Get{p.x(k)}" and p.x(k + 3) == "(" and p.x(k + 4) == "this" and p.x(k + 5) == ")":
-                add("redundant-self-lookup", "Hint", line(p, k), f"'{p.x(k)}.Get{p.x(k)}(this)' looks up the object itself. Use 'this'.", line(p, k))
+                add("redundant-self-lookup", "Hint", line(p, k), f"Redundant self lookup `{p.x(k)}.Get{p.x(k)}(this)`. Use `this`.", line(p, k))
 
 
 @rule
@@ -330,11 +342,14 @@ def unused_members(p: Parser, add: Add) -> None:
         if "partial" in d.mods or d.kind == "interface":
             continue
         for m in d.members:
-            if m.kind not in ("field", "method", "property") or not private(d, m) or m.attrs or m.explicit or m.mods & {"override", "extern"} or m.name == "Main":
+            if m.kind not in ("field", "method", "property") or not private(d, m) or m.explicit or m.mods & {"override", "abstract"} or (m.kind == "method" and m.name == "Main"):
+                continue
+            if m.kind == "field" and ("private" not in m.mods or "const" in m.mods):
                 continue
-            seen = any(p.t[k].text == m.name and p.t[k].kind == "id" and not (m.kind == "method" and m.first <= k <= m.last) and k != m.name_at for k in range(len(p.t)))
+            seen = any(p.t[k].text == m.name and p.t[k].kind == "id" and k != m.name_at for k in range(len(p.t)))
             if not seen and not in_strings(p, m.name, 0, len(p.t)):
-                add("unused-private-member", "Hint", line(p, m.name_at), f"Private {m.kind} '{m.name}' is never used.", line(p, m.first))
+                at, stop = (m.name_at, m.init[1] - 1 if m.init else m.name_at) if m.kind == "field" else (m.first, m.last)
+                add("unused-private-member", "Hint", line(p, at), f"Private {m.kind} `{m.name}` appears to be unused.", line(p, at), end_line(p, stop))
 
 
 def _fields(d: TypeDecl) -> list[Member]:
@@ -354,12 +369,12 @@ def field_writes(p: Parser, add: Add) -> None:
             nested = any(t.outer is d for t in p.types)
             if "readonly" not in f.mods and "volatile" not in f.mods and (writes or f.init) and not nested and f.type.rstrip("?") not in ("SpinLock",):
                 if all(m.kind == "ctor" and ("static" in m.mods) == static and "=>" not in [p.x(j) for j in range(m.body[0] + 1, k)] for m, k in writes):
-                    add("private-field-can-be-readonly", "Hint", line(p, f.name_at), f"Private field '{f.name}' can be readonly.", line(p, f.first))
+                    add("private-field-can-be-readonly", "Hint", line(p, f.name_at), f"Private field `{f.name}` can be `readonly`.", line(p, f.name_at), end_line(p, f.init[1] - 1) if f.init else line(p, f.name_at))
             users = {id(m): m for m, _ in refs}
             if "readonly" in f.mods and len(users) == 1 and not f.init and not static:
                 m = next(iter(users.values()))
                 if m.kind == "ctor" and len(writes) == 1 and p.x(writes[0][1] + 1) == "=" and writes[0][1] == refs[0][1]:
-                    add("private-field-used-in-single-method", "Hint", line(p, f.name_at), f"Private field '{f.name}' is only used in one constructor. Consider a local variable.", line(p, f.first))
+                    add("private-field-used-in-single-method", "Hint", line(p, f.name_at), f"Private readonly field `{f.name}` is only used in the constructor. Consider a local variable.", line(p, f.name_at))
 
 
 @rule
@@ -383,7 +398,12 @@ def static_methods(p: Parser, add: Add) -> None:
             if inherits and t.text not in known and t.text not in KEYWORDS and p.x(k + 1) == "(" and p.x(k - 1) != "new":
                 ok = False
         if ok:
-            add("method-can-be-static", "Hint", line(p, m.name_at), f"Private method '{m.name}' uses no instance state and can be static.", line(p, m.first))
+            add("method-can-be-static", "Hint", line(p, m.first), f"Method `{m.name}` uses no instance state and can likely be made static.")
+
+
+def _parts(least: int, nth: int, spans: list[tuple[int, int]]) -> str:
+    """What the scope is asked: at least so many of the spans have to be touched; the line is the nth touched one's, or the candidate's own for 0."""
+    return f"parts {least} {nth} " + " ".join(f"{a}-{b}" for a, b in spans)
 
 
 @rule
@@ -404,7 +424,7 @@ def concatenations(p: Parser, add: Add) -> None:
                 found.setdefault((depth[-1] if depth else -1, p.x(k)), []).append(k)
         for (_, name), at in found.items():
             if len(at) >= 4:
-                add("string-concat-same-target", "Suggestion", line(p, at[0]), f"String '{name}' is concatenated {len(at)} times in one block. Consider a StringBuilder.", line(p, at[0]), line(p, at[-1]))
+                add("string-concat-same-target", "Suggestion", line(p, at[0]), f"String target `{name}` is concatenated %d times in one block. Consider a `StringBuilder`.", line(p, at[0]), end_line(p, p.until(at[-1], m.body[1], (";",))), _parts(4, 1, [(line(p, k), end_line(p, p.until(k, m.body[1], (";",)) - 1)) for k in at]))
 
 
 @rule
@@ -425,7 +445,8 @@ def events(p: Parser, add: Add) -> None:
             if missing or "IDisposable" not in text:
                 what = " and ".join(w for w in ("never unsubscribes" if missing else "", "isn't IDisposable" if "IDisposable" not in text else "") if w)
                 k = (missing or subs)[0]
-                add("constructor-event-subscription-lifecycle", "Important", line(p, k), f"Constructor of '{d.name}' subscribes to '{p.x(k - 1)}', but the type {what}.", line(p, k))
+                spans = _parts(1, 0, [(line(p, k), end_line(p, p.until(k, m.body[1], (";",)))) for k in missing or subs])
+                add("constructor-event-subscription-lifecycle", "Important", line(p, m.first), f"Constructor `{d.name}` subscribes to event `{p.x(k - 1)}`, but the type {what}.", line(p, m.first), end_line(p, m.last), spans)
 
 
 @rule
@@ -444,12 +465,12 @@ def disposables(p: Parser, add: Add) -> None:
                 if (after in (".", "?.") and p.x(k + 2) in ("Dispose", "DisposeAsync", "Close")) or p.x(k - 1) in ("return", "(", ",", "=", "=>", "using", "??"):
                     handled = True
             if not handled:
-                add("disposable-not-disposed", "Suggestion", line(p, at), f"'{name}' ({kind}) is created but never disposed.", line(p, at))
+                add("disposable-not-disposed", "Suggestion", line(p, at), f"Disposable `{kind}` in `{name}` is created but never disposed.", line(p, at))
     for d in p.types:
         names = {b.split("<")[0].split(".")[-1] for b in d.bases}
         for m in d.members:
             if m.kind == "method" and m.name == "Dispose" and not m.params and m.type == "void" and not m.mods & {"override", "static"} and not m.explicit and "partial" not in d.mods and d.kind in ("class", "struct", "record") and not names & {"IDisposable", "IAsyncDisposable", "IEnumerator"} and not d.bases:
-                add("dispose-without-idisposable", "Suggestion", line(p, m.name_at), f"'{d.name}' has a Dispose method but isn't IDisposable.", line(p, m.first))
+                add("dispose-without-idisposable", "Suggestion", line(p, m.first), f"Type `{d.name}` defines `Dispose()` but isn't `IDisposable`.", line(p, m.first), end_line(p, m.last))
 
 
 def _declared(p: Parser, d: TypeDecl, m: Member) -> dict[str, str]:
@@ -478,7 +499,7 @@ def comparisons(p: Parser, add: Add) -> None:
                 elif step < 0 and p.x(other) == ")" and p.x(p.pair[other] - 2) not in (".", "?."):
                     kind = returns.get(p.x(p.pair[other] - 1), "")
                 if kind in ("bool", "Boolean"):
-                    add("boolean-literal-comparison", "Hint", line(p, k), f"Comparison with '{p.x(literal)}' isn't needed for a bool.", line(p, k))
+                    add("boolean-literal-comparison", "Hint", line(p, k), f"Boolean comparison with `{p.x(literal)}` isn't needed.", line(p, k))
 
 
 @rule
@@ -490,7 +511,7 @@ def casts(p: Parser, add: Add) -> None:
                 continue
             e = p.pair[k]
             if p.type_end(k + 1) == e and p.kind(e + 1) == "id" and p.x(e + 2) not in (".", "?.", "(", "[") and types.get(p.x(e + 1)) == p.joined(k + 1, e) != "var":
-                add("unnecessary-cast", "Hint", line(p, k), f"'{p.x(e + 1)}' is already of type '{p.joined(k + 1, e)}'.", line(p, k))
+                add("unnecessary-cast", "Hint", line(p, k), f"Unnecessary cast of `{p.x(e + 1)}`: it is already `{p.joined(k + 1, e)}`.", line(p, k))
 
 
 @rule
@@ -507,12 +528,12 @@ def tasks(p: Parser, add: Add) -> None:
             own = name_at == k or (name_at == k + 2 and p.x(k) == "this")
             kind = returns.get(p.x(name_at), "") if own else ""
             if re.match(r"(Value)?Task\b", kind) or (not own and p.x(name_at).endswith("Async") and p.x(name_at) != "Async" and p.x(name_at - 1) in (".", "?.")):
-                add("unobserved-task-result", "Suggestion", line(p, k), f"The task of '{p.x(name_at)}' isn't awaited or kept.", line(p, k), end_line(p, e))
+                add("unobserved-task-result", "Suggestion", line(p, k), f"The `Task` of `{p.x(name_at)}` isn't awaited or kept.", line(p, k), end_line(p, e))
 
 
 @rule
 def enumerations(p: Parser, add: Add) -> None:
-    for _, m in methods(p, "method", "ctor"):
+    for _, m in methods(p):
         if not m.body:
             continue
         names = {n for t, n, _ in m.params if re.match(r"(System\.Collections\.Generic\.)?IEnumerable<", t)}
@@ -537,7 +558,7 @@ def enumerations(p: Parser, add: Add) -> None:
                             break
                         j = p.pair[call] + 1
             if len(at) >= 2:
-                add("multiple-enumeration", "Suggestion", line(p, at[1]), f"'{name}' is enumerated {len(at)} times. Consider materialising it once.", line(p, at[1]))
+                add("multiple-enumeration", "Suggestion", line(p, at[1]), f"Sequence `{name}` is enumerated %d times in `{m.name}`. Consider materializing it once.", line(p, at[0]), line(p, at[-1]), _parts(2, 2, [(line(p, k),) * 2 for k in at]))
 
 
 @rule
@@ -557,7 +578,7 @@ def cultures(p: Parser, add: Add) -> None:
             for n in sorted(real):
                 plain = any(p.x(j + 1) == "." and p.x(j + 2) == "ToString" or p.x(j - 1) == "+" or p.x(j + 1) == "+" for j in uses(p, n, a, e))
                 if plain or in_strings(p, n, a, e):
-                    add("numeric-string-culture-for-file-write", "Important", line(p, k), f"'{n}' is written to a file in the current culture. Use InvariantCulture.", line(p, k), end_line(p, e))
+                    add("numeric-string-culture-for-file-write", "Important", line(p, k), f"Numeric value `{n}` is written to a file in the current culture. Use `CultureInfo.InvariantCulture`.", line(p, k), end_line(p, e))
                     break
 
 
@@ -583,7 +604,7 @@ def lambdas(p: Parser, add: Add) -> None:
         e = p.pair[j + 1]
         passed = [p.joined(x, y) for x, y in p.args(j + 1)]
         if passed == names and p.x(e + 1) in (")", ",", ";") and p.x(k + 1) not in names:
-            add("lambda-can-be-method-group", "Hint", t.line, f"Lambda only passes its parameters on and can be '{p.joined(k + 1, j + 1)}'.", line(p, a), line(p, e))
+            add("lambda-can-be-method-group", "Hint", t.line, f"Lambda expression can be the method group `{p.joined(k + 1, j + 1)}`.", line(p, a), line(p, e))
 
 
 @rule
@@ -593,5 +614,5 @@ def duplicate_usings(p: Parser, add: Add) -> None:
         name = text.removeprefix("global")
         if name in seen:
             n = line(p, a)
-            add("unused-usings-roslyn", "Hint", n, f"Using '{name.removeprefix('using')}' is there twice.", n, extra="global" if global_ else None)
+            add("unused-usings-roslyn", "Hint", n, f"Using `{name.removeprefix('using')}` is there twice.", n, extra="global" if global_ else None)
         seen.add(name)

@@ -150,8 +150,8 @@ def markup_elements(text: str) -> list[dict] | None:
     return out
 
 
-_HINT = re.compile(r"\bx:DataType\s*=|\bd:DataContext\s*=|\bx:CompileBindings\s*=\s*\"True\"|\bDesign\.DataContext\b", re.I)
-_SOURCE = re.compile(r"\b(ElementName|Source|RelativeSource|TemplatedParent)\s*=|^\s*(#|\$)|\bPath\s*=\s*(#|\$)", re.I)
+_HINT = re.compile(r"\b(?:(?:x:)?DataType|d:DataContext)\s*=|\bd:Design(?:Instance|Data)\b|<\s*Design\.DataContext\b", re.I)
+_SOURCE = re.compile(r"\b(?:ElementName|(?:Relative)?Source)\s*=|\bx:Reference\b|\$(?:parent|self|this)\b", re.I)
 
 
 def untyped_bindings(text: str) -> list[dict] | None:

@@ -47,16 +47,14 @@ def _ends(text: str) -> str:
 def _brace_gap(text: str, line: int, _: str) -> str | None:
     rows = re.findall(r"[^\n]*\n|[^\n]+$", text)
     a = min(line, len(rows)) - 1
-    if a < 0 or rows[a].strip():
+    if a < 0 or rows[a].strip() not in ("{", "}"):
         return None
-    b = a
+    b = a  # the second brace; the blank lines above it go
     while a > 0 and not rows[a - 1].strip():
         a -= 1
-    while b + 1 < len(rows) and not rows[b + 1].strip():
-        b += 1
-    if a == 0 or b + 1 >= len(rows) or rows[a - 1].strip() not in ("{", "}") or rows[b + 1].strip() != rows[a - 1].strip():
+    if a in (0, b) or rows[a - 1].strip() != rows[b].strip():
         return None
-    return "".join(rows[:a] + rows[b + 1 :])
+    return "".join(rows[:a] + rows[b:])
 
 
 @fixer("missing-blank-line-between-methods")
@@ -132,7 +130,7 @@ def _static(text: str, line: int, _: str) -> str | None:
     p = _parse(text)
     for d in p.types if p else ():
         for m in d.members:
-            if m.kind == "method" and p.t[m.name_at].line == line and "static" not in m.mods:
+            if m.kind == "method" and p.t[m.first].line <= line <= p.t[m.name_at].line and "static" not in m.mods:
                 k = m.first
                 k, _n = p.attributes(k)
                 if p.x(k) in ("private", "internal", "protected", "public"):
@@ -188,7 +186,7 @@ def _unused(text: str, line: int, message: str) -> str | None:
     p = _parse(text)
     for d in p.types if p else ():
         for m in d.members:
-            if m.kind == "method" and p.t[m.name_at].line == line:
+            if m.kind == "method" and p.t[m.first].line <= line <= p.t[m.name_at].line:
                 first, last = p.t[m.first].line, p.t[m.last].line
                 docs = [n for n, _ in p.s.docs]
                 while first - 1 in docs:

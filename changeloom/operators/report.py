@@ -18,12 +18,16 @@ def preview(lines: Column, at: Column, around: int) -> Column:
 def numbered(df: DataFrame, order: list, name: str) -> DataFrame:
     """Rows with their position in a total order, without a window over one partition.
 
-    Rows are range-partitioned and sorted; a range's first position is the size of all ranges before it, one small row each.
+    Rows are range-partitioned, sorted and written once, each with its range and its place in it: sampled and coalesced anew, the ranges would be others.
+    A range's first position is the size of all ranges before it, one small row each. Rows that tie in the order get distinct positions. No row: none.
     """
     from pyspark.sql import Window
 
+    from changeloom.shared import written
+
     ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_range", F.spark_partition_id())
     ranged = ranged.withColumn("_local", F.monotonically_increasing_id() - F.shiftleft(F.col("_range").cast("long"), 33))
+    ranged = written(ranged, "numbered")
     before = ranged.groupBy("_range").agg(F.count("*").alias("_n"))
     before = before.select("_range", (F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")).alias("_before"))
     return ranged.join(F.broadcast(before), "_range").withColumn(name, F.col("_before") + F.col("_local") + 1).drop("_range", "_local", "_before")
@@ -112,3 +116,71 @@ def log_colour(message: Column) -> Column:
     """Severity of a log line by its first marker in order of weight."""
     up = F.upper(message)
     return F.when(up.contains("ERROR"), "error").when(up.contains("PASS"), "pass").when(up.contains("WARNING"), "warning").when(up.contains("HINT"), "hint").otherwise("info")
+
+
+#: What a comment on a change says, by rule; the other rules' comments are their messages.
+COMMENTS = {
+    "method-can-be-static": "Nothing of the instance is used here, so the method could be static.",
+    "consecutive-boolean-arguments": "Two flags in a row are hard to tell apart at the call. Could they be named?",
+    "consecutive-null-arguments": "Several nulls in a row are hard to tell apart at the call. Could they be named?",
+    "lambda-can-be-method-group": "The lambda only passes its arguments on; the method's name would do.",
+    "local-variable-prefix": "The prefix makes this local look like a field.",
+    "public-method-argument-guards": "A caller could pass null here. Would an early check of the arguments help?",
+    "numeric-string-culture-for-file-write": "The number's text depends on the machine's culture. The invariant one keeps the file readable everywhere.",
+    "duplicate-code-block": "Much the same code is elsewhere in the repository already. Could it be shared?",
+    "blank-line-between-brace-pairs": "The blank line between these two braces can go.",
+    "private-field-can-be-readonly": "The field is only set while the object is made, so it could be readonly.",
+    "private-field-used-in-single-method": "Only one method uses this field. Would a local variable do?",
+    "unused-local-variable": "The local isn't read anywhere, so it can probably go.",
+    "unused-private-member": "No code seems to use this private member, so it can probably go.",
+    "unused-usings-roslyn": "This using isn't needed any more.",
+    "property-can-be-auto-property": "An auto-property would say the same in one line.",
+    "private-property-should-be-field": "A private property like this could be a plain field.",
+    "private-get-only-auto-property-should-be-field": "A private property that is only read could be a readonly field.",
+    "missing-blank-line-between-methods": "A blank line between the two methods would help the reader.",
+    "if-else-unnecessary-braces": "Both branches are one statement, so the braces can go.",
+    "if-else-brace-consistency": "One branch has braces and the other hasn't. The same for both reads better.",
+    "unnecessary-enum-member-value": "The member would get this value anyway.",
+    "boolean-literal-comparison": "A truth value needn't be compared with a literal.",
+    "unnecessary-cast": "The expression has this type already, so the cast can go.",
+    "redundant-self-lookup": "This looks up the object that it is called on; `this` is enough.",
+    "unnecessary-verbatim-string-prefix": "Nothing in this string needs the verbatim prefix.",
+}
+
+
+def comment_text(rule_id: Column, message: Column) -> Column:
+    """What is posted for a finding: its rule's sentence, else its message, "" for none."""
+    m = F.create_map(*(F.lit(x) for kv in COMMENTS.items() for x in kv))
+    return F.coalesce(F.try_element_at(m, rule_id), message, F.lit(""))
+
+
+_FLAGS = ("can_open", "can_comment", "can_fix", "can_prompt", "is_posting", "has_posted", "is_fixing", "has_been_fixed")
+
+
+def row_actions(rows: DataFrame) -> DataFrame:
+    """Adds which actions a row offers now: open, comment, fix and prompt, of those that it can do (can_*). A flag that is missing or null is false.
+
+    Only an included row offers any. One whose comment is being or has been posted offers no comment, one that is being or has been fixed no fix.
+    """
+    flag = {n: F.coalesce(F.col(n), F.lit(False)) if n in rows.columns else F.lit(False) for n in _FLAGS}
+    on = F.coalesce(F.col("is_included"), F.lit(False))
+    return rows.withColumns(
+        {
+            "open_active": flag["can_open"] & on,
+            "comment_active": flag["can_comment"] & on & ~flag["is_posting"] & ~flag["has_posted"],
+            "fix_active": flag["can_fix"] & on & ~flag["is_fixing"] & ~flag["has_been_fixed"],
+            "prompt_active": flag["can_prompt"] & on,
+        }
+    )
+
+
+def batch_state(rows: DataFrame, posting: bool = False, can_comment: bool = True) -> DataFrame:
+    """One row: can_toggle, can_export, can_comment, of all rows together (after row_actions)."""
+    some = lambda c: F.coalesce(F.bool_or(c), F.lit(False))
+    return rows.agg((F.count("*") > 0).alias("can_toggle"), some("is_included").alias("can_export"), (some("comment_active") & F.lit(can_comment and not posting)).alias("can_comment"))
+
+
+def summary_text(summary: DataFrame) -> DataFrame:
+    """Adds the sentence over the list: findings, files, and how many are hidden, if any are."""
+    n = lambda c: F.col(c).cast("string")
+    return summary.withColumn("text", F.concat(n("n_rows"), F.lit(" finding(s) across "), n("n_files"), F.lit(" file(s)"), F.when(F.col("hidden") > 0, F.concat(F.lit(" ("), n("hidden"), F.lit(" hidden)"))).otherwise("")))

@@ -73,8 +73,9 @@ def blank_between_braces() -> Column:
     """Pairs of neighbouring non-blank lines that are the same lone brace, with blank lines between them."""
     solid = F.col("solid_lines")
     pairs = F.transform(F.sequence(F.lit(1), F.greatest(F.size(solid) - 1, F.lit(1))), lambda i: F.struct(F.get(solid, i - 1).alias("a"), F.get(solid, i).alias("b")))
-    gap = F.filter(pairs, lambda p: p["b"].isNotNull() & (p["a"]["s"] == p["b"]["s"]) & p["a"]["s"].isin("{", "}") & (p["b"]["n"] - p["a"]["n"] > 1) & F.exists("scope_lines", lambda x: x.between(p["a"]["n"] + 1, p["b"]["n"])))
-    return F.transform(gap, lambda p: finding("blank-line-between-brace-pairs", "Hint", p["a"]["n"] + 1, "Blank line between two braces."))
+    gap = F.filter(pairs, lambda p: p["b"].isNotNull() & (p["a"]["s"] == p["b"]["s"]) & p["a"]["s"].isin("{", "}") & (p["b"]["n"] - p["a"]["n"] > 1) & (F.col("is_added") | F.exists("scope_lines", lambda x: x.between(p["a"]["n"] + 1, p["b"]["n"]))))
+    said = lambda p: F.concat(F.lit("Blank line between consecutive "), F.when(p["b"]["s"] == "{", "opening").otherwise("closing"), F.lit(" braces."))
+    return F.transform(gap, lambda p: finding("blank-line-between-brace-pairs", "Hint", p["b"]["n"], said(p)))
 
 
 _TYPE = r"(?m)^\s*((?:(?:public|internal|sealed|abstract|partial|static)\s+)+)\b(?:class|interface|record|struct)\s+([A-Za-z_][A-Za-z0-9_]*)"
@@ -110,7 +111,9 @@ def missing_xml_docs() -> Column:
 
 def untyped_bindings() -> Column:
     hit = F.filter(F.coalesce(F.col("bindings"), F.array()), lambda b: F.exists("scope_lines", lambda x: x.between(b["first"], b["last"])) | F.col("is_added"))
-    return F.when(F.size(hit) > 0, F.array(finding("missing-typed-binding-context", "Hint", F.array_min(F.transform(hit, lambda b: b["first"])), "Binding depends on an untyped data context. Consider declaring its data type."))).otherwise(none())
+    touched = F.array_min(F.filter("scope_lines", lambda x: x.between(1, F.size("lines")) & F.exists(hit, lambda b: x.between(b["first"], b["last"]))))
+    at = F.when(F.col("is_added"), F.array_min(F.transform(hit, lambda b: b["first"]))).otherwise(touched)
+    return F.when(F.size(hit) > 0, F.array(finding("missing-typed-binding-context", "Hint", at, "Markup binding without a typed data context hint, such as `x:DataType` or `d:DataContext`."))).otherwise(none())
 
 
 def argument_guards() -> Column:
@@ -150,10 +153,9 @@ def missing_tests(files: DataFrame) -> DataFrame:
     return _row(open_, "missing-tests", F.when(some, "Hint").otherwise("Suggestion"), F.col("at"), message)
 
 
-def missing_readme(files: DataFrame, repository: DataFrame | None) -> DataFrame:
-    """Added project files whose folder has no README.md among the change set and the repository's files (repo_id, path)."""
-    every = files.select("repo_id", "path") if repository is None else files.select("repo_id", "path").unionByName(repository.select("repo_id", "path"))
-    readme = every.where(F.lower(P.name(F.col("path"))) == "readme.md").select("repo_id", F.lower(P.directory(F.col("path"))).alias("dir")).distinct()
+def missing_readme(files: DataFrame, paths: DataFrame) -> DataFrame:
+    """Added project files whose folder has no README.md among the paths (repo_id, path) of the change set and the repository."""
+    readme = paths.where(F.lower(P.name(F.col("path"))) == "readme.md").select("repo_id", F.lower(P.directory(F.col("path"))).alias("dir")).distinct()
     projects = files.where(F.col("is_added") & F.col("path").rlike(r"(?i)\.csproj$")).withColumn("dir", F.lower(P.directory(F.col("path"))))
     message = F.concat(F.lit("New project file '"), P.name(F.col("path")), F.lit("' has no 'README.md' beside it."))
     return _row(projects.join(readme, ["repo_id", "dir"], "left_anti"), "missing-readme-for-new-project", "Hint", F.coalesce(F.array_min("added_lines"), F.lit(1)), message)
@@ -162,12 +164,13 @@ def missing_readme(files: DataFrame, repository: DataFrame | None) -> DataFrame:
 def missing_method_tests(files: DataFrame) -> DataFrame:
     """New public methods of types for which no changed test file has the type's name in its own."""
     path = F.col("path")
-    test = files.where(P.is_test(path)).select("repo_id", F.lower(F.regexp_replace(P.name(path), r"\.[^.]*$", "")).alias("file")).distinct()
+    test = files.where(P.is_test(path) | P.is_test_text(F.col("text"))).select("repo_id", F.lower(P.name(path)).alias("file")).distinct()
     cands = F.filter(F.coalesce(F.col("candidates"), F.array()), lambda c: (c["rule_id"] == "missing-tests-public-methods") & (F.col("is_added") | F.array_contains("scope_lines", c["first"])))
-    src = files.where(~P.is_test(path) & ~P.is_test_text(F.col("text")) & ~P.is_interface(path) & ~P.is_code_behind(path))
+    src = files.where(~P.is_test(path) & ~P.is_generated(path) & ~P.is_code_behind(path) & ~P.is_ui_text(F.col("text")))
     new = src.select("repo_id", "path", F.explode(cands).alias("c")).withColumn("type", F.lower("c.extra"))
     # A repository's changed test files are few: they are gathered on its row, so containment is tested without a theta join.
     named = new.join(test.groupBy("repo_id").agg(F.collect_set("file").alias("files")), "repo_id", "left").withColumn("files", F.coalesce("files", F.array()))
     likely = F.exists("files", lambda f: f.contains("test") & f.contains(F.col("type")))
-    message = F.concat(F.lit("New public method '"), F.col("c.message"), F.lit("' of '"), F.col("c.extra"), F.lit("' has no test in this change."))
+    some = F.size("files") > 0
+    message = F.concat(F.when(some, "New public method '").otherwise("Public method '"), F.col("c.message"), F.when(some, "' has no likely matching unit tests.").otherwise("' has no unit test changes."))
     return _row(named.where(~likely), "missing-tests-public-methods", F.when(F.size("files") > 0, "Hint").otherwise("Suggestion"), F.col("c.line"), message)

@@ -93,7 +93,7 @@ CSHARP = [
     ("lambda-can-be-method-group", "class A { void M() { x.ForEach(i => Go(i, 1)); x.ForEach(i => i.Go(i)); } }", 0),
     ("unused-usings-roslyn", "using A;\nusing B;\nusing A;\nclass C { }", 1),
     ("missing-tests-public-methods", "public class A { public void M() { } }", 1),
-    ("missing-tests-public-methods", "class A { public void M() { } } public class B { public override string ToString() { } void N() { } }", 0),
+    ("missing-tests-public-methods", "interface A { public void M() { } } class D { public void Dispose() { } } public class B { public override string ToString() { } void N() { } }", 0),
 ]
 
 
@@ -142,7 +142,7 @@ def test_lines_and_scope(spark):
     gate = "class A {\n public object Gate;\n void M() {\n lock(this) { }\n lock (Gate) { }\n lock (mine) { }\n}\n\n\n}\n"
     r = scan(spark, [("M", "x.cs", gate, [4, 5, 6, 9])])
     assert found(r, "lock-this-or-public") == [("x.cs", 4, "Important"), ("x.cs", 5, "Important")]
-    assert found(r, "blank-line-between-brace-pairs") == [("x.cs", 8, "Hint")]
+    assert found(r, "blank-line-between-brace-pairs") == [("x.cs", 10, "Hint")]
     assert found(scan(spark, [("M", "x.cs", gate, [1])]), "lock-this-or-public") == []
     assert len(found(scan(spark, [("M", "x.cs", gate, [1])], include_full_modified_files=True), "lock-this-or-public")) == 2
     assert found(scan(spark, [("M", "obj/Debug/x.cs", gate)])) == []
@@ -200,7 +200,10 @@ MARKUP = '<W xmlns="w" xmlns:x="http://schemas.microsoft.com/winfx/2006/xaml">\n
     ],
 )
 def test_markup(spark, body, rules):
-    assert {r.rule_id for r in scan(spark, [("M", "v.axaml", MARKUP.format(body))]).findings.collect()} == rules
+    from changeloom.operators import rules_markup, rules_text
+
+    r = scan(spark, [("M", "v.axaml", MARKUP.format(body))], per_file=[*rules_markup.PER_FILE, rules_text.untyped_bindings], several_files=[])
+    assert {x.rule_id for x in r.findings.collect()} == rules
 
 
 BLOCK = "".join(f"    var v{i} = Call({i});\n" for i in range(7))
@@ -235,3 +238,36 @@ def test_rescan_replaces_a_files_findings(spark):
     before = engine.review(files).findings
     after = engine.rescan(before, files.withColumn("text", F.lit("class A { }")), files.where("path = 'a.cs'").select("repo_id", "path"))
     assert {r.file_path for r in after.where("rule_id = 'thread-sleep'").collect()} == {"b.cs"}
+
+
+def test_rules_are_passed_in(spark):
+    from changeloom.operators import rules_text
+    from changeloom.operators.scope import finding, one
+
+    def long_path():
+        return one(F.length("path") > 3, finding("long-path", "Hint", F.lit(1), F.lit("Long.")))
+
+    def broken():
+        raise ValueError("no")
+
+    seen = []
+    rows = [("M", "abc/d.cs", "class A { void M() { Thread.Sleep(1); } }")]
+    r = scan(spark, rows, per_file=[long_path, broken], several_files=[], progress=lambda n, of, name: seen.append((n, of, name)))
+    assert [x.rule_id for x in r.findings.collect()] == ["long-path"] and seen == [(1, 2, "long_path"), (2, 2, "broken")]
+    assert "broken" in r.info.first().message
+    r = scan(spark, rows, progress=lambda n, of, name: n < 2)
+    assert r.info.count() == 0 and found(r) == []
+    r = scan(spark, rows)
+    assert r.info.count() == 0 and found(r, "thread-sleep") == [("abc/d.cs", 1, "Suggestion")]
+    assert rules_text.empty_catch in engine.PER_FILE
+    plan = r.findings._jdf.queryExecution().executedPlan().toString()
+    assert "MapInPandas" not in plan  # the facts are read from the table that the one pass wrote
+
+
+def test_a_file_that_does_not_parse_keeps_its_suppressions(spark):
+    assert [c["rule_id"] for c in csharp.candidates("#pragma warning disable CS1\nclass A {")] == ["warning-suppression"]
+
+
+def test_far_suppression_in_an_attribute_list():
+    long = ", ".join(f'"{i}"' for i in range(60))
+    assert [c["rule_id"] for c in csharp.candidates(f"[A({long}), SuppressMessage(\"a\", \"b\")]\nclass C {{ }}")] == ["warning-suppression"]

@@ -154,7 +154,7 @@ FIXES = [
     ("warning-suppression", "#pragma warning disable X\nclass A { }\n", 1, "", "class A { }\n"),
     ("unused-usings-roslyn", "using A;\nglobal using B;\n", 1, "", "global using B;\n"),
     ("unused-usings-roslyn", "using A;\nglobal using B;\n", 2, "", None),
-    ("blank-line-between-brace-pairs", "{\n\n\n{\n", 2, "", "{\n{\n"),
+    ("blank-line-between-brace-pairs", "{\n\n\n{\n", 4, "", "{\n{\n"),
     ("missing-blank-line-between-methods", "a\r\nb\r\n", 2, "", "a\r\n\r\nb\r\n"),
     ("if-else-unnecessary-braces", "class A { void M() {\n    if (a)\n    {\n        B();\n    }\n    else\n    {\n        C();\n    }\n} }", 2, "", "class A { void M() {\n    if (a)\n        B();\n    else\n        C();\n} }"),
     ("if-else-brace-consistency", "class A { void M() {\n    if (a)\n        B();\n    else\n    {\n        C();\n        D();\n    }\n} }", 2, "", "class A { void M() {\n    if (a)\n    {\n        B();\n    }\n    else\n    {\n        C();\n        D();\n    }\n} }"),
@@ -186,5 +186,7 @@ def test_review_stream(spark, tmp_path):
 
     put("class A { void M() { Thread.Sleep(1); } }")
     put("class A { public async void M() { } }")
-    rules = {r.rule_id for r in incremental.latest(spark.read.parquet(f"{tmp_path}/out")).collect()}
+    rules = {r.rule_id for r in incremental.latest(spark.read.parquet(f"{tmp_path}/out/findings"), spark.read.parquet(f"{tmp_path}/out/files")).collect()}
     assert "async-void" in rules and "thread-sleep" not in rules
+    put("/// <summary>Fine.</summary>\nclass A { }")
+    assert incremental.latest(spark.read.parquet(f"{tmp_path}/out/findings"), spark.read.parquet(f"{tmp_path}/out/files")).count() == 0
