@@ -1,9 +1,10 @@
 """Shards of balanced size by Karmarkar-Karp differencing, for groups that mustn't be divided.
 
 A partial partition is a tuple of k sums. The two with the largest spread (largest minus least sum) are combined again and again, the
-largest sum of one with the least of the other, until one is left. At scale the groups are hashed into cells; each cell is differenced on
-its own into one partial partition, and the cells' partials are differenced likewise, level by level, FAN of them at a time, so no task
-holds more than a cell and the driver holds nothing. A group's shard is its slot, carried through the levels' slot maps.
+largest sum of one with the least of the other, until one is left. The CELL largest groups are differenced together. The others are hashed into cells, each
+of which is differenced on its own, beginning with a partial partition of no groups: its share of the large groups' sums. So every cell evens out its
+part of what the large groups left uneven, its slots are the shards, and no task holds more than a cell. A table of up to CELL groups is differenced as a whole, and
+a group more than that doesn't move them.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 
 from changeloom.llm.common import work_dir
 
-SHARDS, CELL, FAN = 64, 20_000, 200
+SHARDS, CELL = 64, 20_000
 
 
 def difference(sums: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -57,9 +58,11 @@ def difference(sums: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return state[heap[0][1]], slot
 
 
-def difference_weights(weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+def difference_weights(weights: np.ndarray, k: int, begin: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """`difference` for single groups, each in slot 0 of its own partial: the sums, and each group's slot.
 
+    begin: the k sums of one more partial, of no groups, whose slots are those of the result.
+
     Equal to it, but a partial is kept as the short list of its filled slots as long as two of them fit side by side, so n groups
     cost far less than n combinations of k slots.
     """
@@ -72,8 +75,13 @@ def difference_weights(weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndar
     # the spread of a partial with a free slot is its largest sum, so the heap pops groups in this order.
     state = {i: ([int(weights[g])], [[int(g)]]) for i, g in enumerate(order)}
     heap = [(-s[0][0], i) for i, s in state.items()]
-    heapq.heapify(heap)
     new = n
+    if begin is not None:  # its slots are told apart by marks
+        at = np.argsort(-begin, kind="stable").tolist()
+        state[n] = ([int(begin[i]) for i in at], [[~i] for i in at])
+        heap.append((-int(begin.max() - begin.min()), n))
+        new += 1
+    heapq.heapify(heap)
     while len(heap) > 1:
         (_, a), (_, b) = heapq.heappop(heap), heapq.heappop(heap)
         (xs, xg), (ys, yg) = state.pop(a), state.pop(b)
@@ -102,55 +110,51 @@ def difference_weights(weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndar
     s, g = state[heap[0][1]]
     sums = np.zeros(k, np.int64)
     for i, (total, members) in enumerate(zip(s, g, strict=True)):
+        if begin is not None:
+            i = ~min(members)
+            members.remove(~i)
         sums[i] = total
         out[members] = i
     return sums, out
 
 
-def assign(groups: DataFrame, shards: int = SHARDS, cell: int = CELL, fan: int = FAN) -> DataFrame:
+def assign(groups: DataFrame, shards: int = SHARDS, cell: int = CELL) -> DataFrame:
     """(grp, bytes) with one row for each group to (grp, bytes, shard). Null sizes count as 0; negative ones too."""
     if shards < 1:
         raise ValueError("shards must be at least 1")
     spark = groups.sparkSession
     base = work_dir(spark, "shards")
-    src = groups.select("grp", F.greatest(F.coalesce(F.col("bytes"), F.lit(0)), F.lit(0)).cast("long").alias("bytes"))
-    src.write.parquet(f"{base}/groups")
+    groups.select("grp", F.greatest(F.coalesce(F.col("bytes"), F.lit(0)), F.lit(0)).cast("long").alias("bytes")).write.parquet(f"{base}/groups")
     src = spark.read.parquet(f"{base}/groups")
-    cells = max(1, -(-src.count() // cell))
-
-    def local(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["bytes", "grp"], ascending=[False, True], kind="stable")
-        _, slot = difference_weights(pdf["bytes"].to_numpy(), shards)
-        return pdf.assign(slot=slot)
-
-    keyed = src.withColumn("cell", F.pmod(F.xxhash64("grp", F.lit(11)), F.lit(cells)))
-    keyed.groupBy("cell").applyInPandas(local, "grp long, bytes long, cell long, slot int").write.parquet(f"{base}/slots")
-    slots = spark.read.parquet(f"{base}/slots")
-    # Sums of each cell's slots, then level by level the slot maps.
-    level = slots.groupBy("cell", "slot").agg(F.sum("bytes").alias("bytes"))
-    maps = None
-    i = 0
-    while True:
-        def combine(pdf: pd.DataFrame) -> pd.DataFrame:
-            ids = np.sort(pdf["cell"].unique())
-            sums = np.zeros((len(ids), shards), np.int64)
-            sums[np.searchsorted(ids, pdf["cell"]), pdf["slot"]] = pdf["bytes"]
-            total, slot = difference(sums)
-            return pd.DataFrame({"cell": np.repeat(ids, shards), "slot": np.tile(np.arange(shards, dtype=np.int32), len(ids)), "up": pdf["up"].iloc[0], "to": slot.ravel(), "total": total[slot.ravel()]})
-
-        last = cells <= fan
-        level.withColumn("up", F.floor(F.col("cell") / fan) if not last else F.lit(0).cast("long")).groupBy("up").applyInPandas(combine, "cell long, slot int, up long, to int, total long").write.parquet(f"{base}/level{i}")
-        now = spark.read.parquet(f"{base}/level{i}")
-        step = now.select("cell", "slot", "up", "to")
-        maps = step if maps is None else maps.join(step.select(F.col("cell").alias("up"), F.col("slot").alias("to"), F.col("up").alias("up2"), F.col("to").alias("to2")), ["up", "to"]).select("cell", "slot", F.col("up2").alias("up"), F.col("to2").alias("to"))
-        if last:
-            break
-        level = now.select(F.col("up").alias("cell"), F.col("to").alias("slot"), F.col("total").alias("bytes")).distinct()
-        cells, i = -(-cells // fan), i + 1
-    return slots.join(maps.select("cell", "slot", F.col("to").alias("shard")), ["cell", "slot"]).select("grp", "bytes", "shard")
-
-
-def shard_documents(docs: DataFrame, shards: int = SHARDS, cell: int = CELL, fan: int = FAN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    schema = "grp long, bytes long, shard int"
+
+    def local(begin: np.ndarray | None):
+        def run(pdf: pd.DataFrame) -> pd.DataFrame:
+            pdf = pdf.sort_values(["bytes", "grp"], ascending=[False, True], kind="stable")
+            return pdf[["grp", "bytes"]].assign(shard=difference_weights(pdf["bytes"].to_numpy(), shards, begin)[1])
+
+        return run
+
+    # At most `cell` rows: a partial top-k in each partition, then one task.
+    src.orderBy(F.desc("bytes"), F.asc_nulls_first("grp")).limit(cell).groupBy(F.lit(0).alias("one")).applyInPandas(local(None), schema).write.parquet(f"{base}/large")
+    large = spark.read.parquet(f"{base}/large")
+    last = large.orderBy("bytes", F.desc_nulls_last("grp")).first()
+    if last is None:
+        return large
+    after = F.col("grp") > F.lit(last["grp"]) if last["grp"] is not None else F.col("grp").isNotNull()
+    rest = src.where((F.col("bytes") < last["bytes"]) | ((F.col("bytes") == last["bytes"]) & after))
+    cells = -(-rest.count() // cell)
+    if not cells:
+        return large
+    sums = np.zeros(shards, np.int64)
+    for r in large.groupBy("shard").agg(F.sum("bytes").alias("bytes")).collect():  # one row for each shard
+        sums[r["shard"]] = r["bytes"]
+    keyed = rest.withColumn("cell", F.pmod(F.xxhash64("grp", F.lit(11)), F.lit(cells)))
+    keyed.groupBy("cell").applyInPandas(local((sums - sums.min()) // cells), schema).write.parquet(f"{base}/small")
+    return large.unionByName(spark.read.parquet(f"{base}/small"))
+
+
+def shard_documents(docs: DataFrame, shards: int = SHARDS, cell: int = CELL, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, shard) for each document: shards of nearly equal bytes of UTF-8 text; equal texts go to one shard.
 
     A group is a text with all its copies, so no copy is in another shard than its original. A null or an empty text has 0 bytes
@@ -158,4 +162,4 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, cell: int = CELL, fan
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col)).alias("grp"), F.coalesce(F.octet_length(F.col(text_col)), F.lit(0)).cast("long").alias("b"))
     groups = rows.groupBy("grp").agg(F.sum("b").alias("bytes"))
-    return rows.join(assign(groups, shards, cell, fan), "grp").select("doc_id", "shard")
+    return rows.join(assign(groups, shards, cell), "grp").select("doc_id", "shard")
