@@ -2,9 +2,11 @@
 
 A batch of changes holds a document's state before and after (either may be missing: an insert, a delete, a revision). What it adds to each
 total is the counts of the after side less those of the before side, so totals are additive and a batch costs its own size. A batch
-is committed once: its deltas are written to a folder of their own, and then a marker that names the folder is created, which fails if
-the batch has one. A batch that is sent again, or whose job was run twice, changes nothing, and the folder of a lost attempt
-is never read.
+is committed once: its deltas are written to a folder of their own, and then a marker that names the folder appears, written in full under another name
+and renamed, which fails if the batch has one. A batch that is sent again, or whose job was run twice, changes nothing, and the folder of a lost attempt
+is never read. Every COMPACT batches the totals are rolled up into a snapshot, so a read adds the batches since then to it.
+
+Renaming without overwriting is atomic on HDFS. On a store that has no such rename, one writer at a time has to commit.
 """
 
 from __future__ import annotations
@@ -26,6 +28,8 @@ DELTA = "source string, lang string, tokenizer string, docs long, tokens long"
 #: Version name of a tokenizer and the file of its ranks; utf8_bytes needs none.
 TOKENIZERS = {"byte_bpe_50k": "/opt/tokenizers/byte_bpe_50k.tiktoken", "utf8_bytes": ""}
 CHUNK = 8 << 20
+#: Batches after which the totals are rolled up into a snapshot.
+COMPACT = 32
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
@@ -127,39 +131,80 @@ class Ledger:
         self._path = lambda *p: jvm.org.apache.hadoop.fs.Path("/".join((self.path, *p)))
         self._fs = self._path().getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
-    def committed(self) -> dict[str, str]:
-        """Folder of each committed batch."""
-        where = self._path("commits")
-        if not self._fs.exists(where):
-            return {}
-        out = {}
-        for status in self._fs.listStatus(where):
-            name = status.getPath().getName()
-            with_ = self._fs.open(status.getPath())
-            out[bytes.fromhex(name).decode()] = with_.readUTF()
+    def _list(self, what: str) -> list[str]:
+        """Names in a folder, without those that are still being written."""
+        where = self._path(what)
+        return sorted(n for s in self._fs.listStatus(where) if not (n := s.getPath().getName()).startswith((".", "_"))) if self._fs.exists(where) else []
+
+    def _read(self, *p: str) -> list[str]:
+        with_ = self._fs.open(self._path(*p))
+        try:
+            raw = bytes(with_.readAllBytes())
+        finally:
             with_.close()
-        return out
+        return raw.decode().split("\n")
+
+    def _appear(self, lines: list[str], *p: str) -> bool:
+        """Writes a file in full under another name, and gives it its own unless that is taken; says whether it did."""
+        own = (*p[:-1], f".{p[-1]}.{uuid.uuid4().hex}")
+        out = self._fs.create(self._path(*own), False)
+        out.write("\n".join(lines).encode())
+        out.close()
+        jvm, gateway = self.spark.sparkContext._jvm, self.spark.sparkContext._gateway
+        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._path().toUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
+        try:
+            context.rename(self._path(*own), self._path(*p), gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 0))
+        except Exception as e:
+            self._fs.delete(self._path(*own), False)
+            if self._fs.exists(self._path(*p)):  # another writer was first
+                return False
+            raise e
+        return True
+
+    def committed(self) -> set[str]:
+        """The batches that count."""
+        return {bytes.fromhex(n).decode() for n in self._list("commits")}
 
     def commit(self, batch: str, changes: DataFrame) -> bool:
         """Adds the batch unless it was added before; says whether it did."""
-        if batch in self.committed():
+        name = batch.encode().hex() or "00"
+        if name in self._list("commits"):
             return False
         folder = f"deltas/{uuid.uuid4().hex}"
         deltas(changes).write.parquet(f"{self.path}/{folder}")
-        try:
-            out = self._fs.create(self._path("commits", batch.encode().hex()), False)
-        except Exception as e:  # another writer was first
-            if "AlreadyExists" in str(e) or "already exists" in str(e):
-                return False
-            raise
-        out.writeUTF(folder)
-        out.close()
+        if not self._appear([folder], "commits", name):
+            return False
+        if len(self._since()[1]) >= COMPACT:
+            self.compact()
         return True
 
-    def totals(self) -> DataFrame:
-        """(source, lang, tokenizer, docs, tokens) over all committed batches, without the keys that are back at 0."""
-        folders = sorted(self.committed().values())
+    def _since(self) -> tuple[str | None, list[str], set[str]]:
+        """Folder of the snapshot that covers most batches, the names of the batches that it doesn't cover, and of those that it does."""
+        every = self._list("commits")
+        last = self._list("snapshots")
+        if not last:
+            return None, every, set()
+        folder, *covered = self._read("snapshots", last[-1])
+        return folder, [n for n in every if n not in set(covered)], set(covered)
+
+    def _rows(self, folder: str | None, names: list[str]) -> DataFrame:
+        folders = [*([folder] if folder else []), *(self._read("commits", n)[0] for n in names)]
         if not folders:
             return self.spark.createDataFrame([], DELTA)
         rows = self.spark.read.schema(DELTA).parquet(*(f"{self.path}/{f}" for f in folders))
         return rows.groupBy(*KEYS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens")).where("docs != 0 or tokens != 0")
+
+    def compact(self) -> None:
+        """Rolls all batches up into a snapshot. Batches that are committed meanwhile stay outside it; a lost attempt leaves the snapshot before."""
+        folder, names, covered = self._since()
+        if not names:
+            return
+        out = f"totals/{uuid.uuid4().hex}"
+        self._rows(folder, names).coalesce(1).write.parquet(f"{self.path}/{out}")
+        both = sorted(covered | set(names))
+        self._appear([out, *both], "snapshots", f"{len(both):012d}")
+
+    def totals(self) -> DataFrame:
+        """(source, lang, tokenizer, docs, tokens) over all committed batches, without the keys that are back at 0."""
+        folder, names, _ = self._since()
+        return self._rows(folder, names)
