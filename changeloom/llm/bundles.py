@@ -128,6 +128,9 @@ def bundle(pages: DataFrame, out_dir: str, frame: int = FRAME, bundle_bytes: int
     src = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
     total = src.agg(F.sum(F.coalesce(F.octet_length("html"), F.lit(0)) + 512)).first()[0] or 0
     n = max(1, -(-total // bundle_bytes))
+    local = pages.sparkSession.sparkContext.master.startswith("local[")
+    if "://" not in out_dir and not out_dir.startswith("file:") and not local:
+        raise ValueError("name a folder that all executors share, with its scheme")
     root = out_dir if "://" in out_dir else "file://" + out_dir.removeprefix("file:")
 
     @K.lean
@@ -165,7 +168,7 @@ def bundle(pages: DataFrame, out_dir: str, frame: int = FRAME, bundle_bytes: int
                 names=["page_id", "bundle", "frame", "frame_start", "frame_size", "offset", "length", "sha1"],
             )
 
-    key = F.pmod(F.xxhash64("page_id", "url"), F.lit(n)).cast("int")
+    key = F.pmod(F.xxhash64("page_id", "url", "html"), F.lit(n)).cast("int")
     parted = src.select(key.alias("k"), "page_id", "url", "html").repartitionById(n, F.col("k")).sortWithinPartitions("k", "page_id", "url", F.xxhash64("html"))
     return parted.mapInArrow(write, INDEX)
 
