@@ -12,12 +12,12 @@ pair that shares a bucket is passed over and large groups don't cost their squar
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from changeloom.llm import kernels as K
@@ -146,6 +146,23 @@ def _sketch(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
+def _shared_bands(words: np.ndarray):
+    """(k, bands) to (band, k) of the bands whose bit is set."""
+    shared = words.tobytes()
+
+    @K.lean
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.frombuffer(shared, np.uint64)
+        for b in it:
+            band = b.column(1).flatten().to_numpy()
+            row = np.repeat(np.arange(b.num_rows), b.column(1).value_lengths().to_numpy())
+            at = _bit(band)
+            on = np.flatnonzero((bits[at >> K.U64(6)] >> (at & K.U64(63))) & K.U64(1))
+            yield pa.RecordBatch.from_arrays([pa.array(band[on]), b.column(0).take(pa.array(row[on]))], names=["band", "k"])
+
+    return run
+
+
 def _sets(words: np.ndarray):
     """(k, text) to (k, x) for the rows whose key's bit is set: x has the distinct shingles."""
     shared = words.tobytes()
@@ -180,6 +197,18 @@ def _filter_of(ids: DataFrame) -> np.ndarray:
     return out
 
 
+def listed(ids: DataFrame) -> Callable[[Column], Column]:
+    """Whether a key's bit is set in the bitmap of the ids' keys k: true for each of them, and for a few others."""
+    words = ids.sparkSession.sparkContext.broadcast(_filter_of(ids))
+
+    @F.pandas_udf("boolean")
+    def found(keys: pd.Series) -> pd.Series:
+        at = _bit(keys.to_numpy())
+        return pd.Series((words.value[at >> K.U64(6)] >> (at & K.U64(63))) & K.U64(1) == 1)
+
+    return found
+
+
 def _estimate(least: float):
     @K.lean
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -210,14 +239,15 @@ def near_groups(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "do
     texts = sk.where("e1 is not null")
     exact = kept(texts.groupBy("e1", "e2").agg(F.min("k").alias("rep"), F.count("*").alias("n")), "exact")
     reps = sk.where("bands is not null").select("k", "bands").join(exact.select(F.col("rep").alias("k")), "k", "left_semi").dropDuplicates(["k"])
-    w = Window.partitionBy("band")
-    members = kept(
-        reps.select("k", F.explode("bands").alias("band")).withColumns({"hub": F.min("k").over(w), "last": F.max("k").over(w)}).where("hub < last").select("band", "hub", "k"), "members"
-    )
+    # The hub is a bucket's least member. Partial aggregates take a hot bucket apart, and only rows of buckets with several members are joined.
+    reps = kept(reps, "reps")
+    hubs = kept(reps.select("k", F.explode("bands").alias("band")).groupBy("band").agg(F.min("k").alias("hub"), F.max("k").alias("last")).where("hub < last").select("band", "hub"), "hubs")
+    members = kept(reps.mapInArrow(_shared_bands(_filter_of(hubs.select(F.col("band").alias("k")))), "band long, k long").join(hubs, "band"), "members")
     star = kept(members.where("hub < k").select(F.col("hub").alias("a"), F.col("k").alias("b")).distinct(), "star")
 
     def verified(pairs: DataFrame, name: str) -> DataFrame:
-        regs = sk.select("k", "regs").dropDuplicates(["k"])
+        # Registers of rows that are in no pair stay where they are.
+        regs = sk.select("k", "regs").where(listed(pairs.select(F.explode(F.array("a", "b")).alias("k")))(F.col("k"))).dropDuplicates(["k"])
         near = kept(
             pairs.join(regs.select(F.col("k").alias("a"), F.col("regs").alias("ra")), "a").join(regs.select(F.col("k").alias("b"), F.col("regs").alias("rb")), "b").select("a", "b", "ra", "rb").mapInArrow(_estimate(threshold - SLACK), "a long, b long"),
             f"{name}_near",
@@ -232,16 +262,19 @@ def near_groups(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "do
     first = verified(star, "star")
     comp = connected(first.select("a", "b"))
     named = members.join(comp.withColumnRenamed("id", "k"), "k", "left").withColumn("c", F.coalesce("root", "k")).select("band", "k", "c")
-    split = kept(named.withColumns({"c0": F.min("c").over(w), "c1": F.max("c").over(w), "size": F.count("*").over(w)}).where("c0 < c1 and size > 2").select("band", "k", "c"), "split")
+    mixed = named.groupBy("band").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count("*").alias("size")).where("c0 < c1 and size > 2").select("band")
+    split = kept(named.join(mixed, "band", "left_semi"), "split")
     x, y = split.alias("x"), split.alias("y")
     rest = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.c") != F.col("y.c")) & (F.col("x.k") < F.col("y.k"))).select(F.col("x.k").alias("a"), F.col("y.k").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
     second = verified(kept(rest, "rest"), "rest")
     comp = connected(first.select("a", "b").union(second.select("a", "b"))).withColumnRenamed("id", "rep")
     # Each row's group: its exact copies' representative, then that one's component.
     groups = exact.join(comp, "rep", "left").withColumn("g", F.coalesce("root", "rep")).select("e1", "e2", "g", "n")
-    rows = texts.select("k", "doc_id", "e1", "e2").join(groups.withColumn("total", F.sum("n").over(Window.partitionBy("g"))).where("total > 1"), ["e1", "e2"])
-    order = Window.partitionBy("g").orderBy(F.col("doc_id").asc_nulls_first(), "k")
-    in_group = rows.withColumns({"root": F.first("k").over(order), "root_id": F.first("doc_id").over(order), "copy": F.row_number().over(Window.partitionBy("g", "k").orderBy("doc_id"))})
+    several = groups.groupBy("g").agg(F.sum("n").alias("total")).where("total > 1").select("g")
+    rows = kept(texts.select("k", "doc_id", "e1", "e2").join(groups.join(several, "g", "left_semi"), ["e1", "e2"]).select("k", "doc_id", "g"), "rows")
+    # In the least of the pairs a null id comes first.
+    first_of = rows.groupBy("g").agg(F.min(F.struct("doc_id", "k")).alias("least")).select("g", F.col("least.k").alias("root"), F.col("least.doc_id").alias("root_id"))
+    in_group = rows.join(first_of, "g").withColumn("copy", F.row_number().over(Window.partitionBy("k").orderBy("doc_id")))
     return kept(in_group.select("k", "doc_id", "root", "root_id", "copy"), "groups"), sk
 
 
@@ -263,15 +296,8 @@ def keep_one(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_i
     k, hit, mark = fresh(docs, "k", "hit", "mark")
     gone = groups.where("k != root").select("k").distinct()
     twice = groups.where("copy = 2 and k = root").select("k").distinct()
-    words = docs.sparkSession.sparkContext.broadcast(_filter_of(gone.union(twice)))
-
-    @F.pandas_udf("boolean")
-    def listed(keys: pd.Series) -> pd.Series:
-        at = _bit(keys.to_numpy())
-        return pd.Series((words.value[at >> K.U64(6)] >> (at & K.U64(63))) & K.U64(1) == 1)
-
     # Rows whose bit isn't set stay where they are; only the others, the copies and a few more, are shuffled.
-    marked = docs.withColumn(k, F.xxhash64(F.col(id_col), F.col(text_col))).withColumn(hit, listed(F.col(quoted(k))))
+    marked = docs.withColumn(k, F.xxhash64(F.col(id_col), F.col(text_col))).withColumn(hit, listed(gone.union(twice))(F.col(quoted(k))))
     some = marked.where(F.col(hit)).join(gone.withColumnRenamed("k", k), k, "left_anti").join(twice.select(F.col("k").alias(k), F.lit(0).cast("long").alias(mark)), k, "left")
     once = some.withColumn(mark, F.coalesce(mark, F.monotonically_increasing_id() + 1)).dropDuplicates([k, mark])
     columns = [F.col(quoted(c)) for c in docs.columns]

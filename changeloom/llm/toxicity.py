@@ -9,14 +9,13 @@ a threshold is toxic, taking the marginals as independent, and these tokens give
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from changeloom.llm import kernels as K
@@ -218,18 +217,6 @@ def affix3(t: Tokens, low: np.ndarray) -> np.ndarray:
     return K.mix(value)
 
 
-def _listed(ids: DataFrame) -> Callable[[Column], Column]:
-    """Whether a key's bit is set in the bitmap of the ids' keys k: true for each of them, and for a few others."""
-    words = ids.sparkSession.sparkContext.broadcast(neardup._filter_of(ids))
-
-    @F.pandas_udf("boolean")
-    def listed(keys: pd.Series) -> pd.Series:
-        at = neardup._bit(keys.to_numpy())
-        return pd.Series((words.value[at >> K.U64(6)] >> (at & K.U64(63))) & K.U64(1) == 1)
-
-    return listed
-
-
 @K.lean
 def _marks(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(k, i, y, t) to (k, i, y, m) for the rows with a word: m has 12 minima of the hashed word triples."""
@@ -277,7 +264,7 @@ def distinct_rows(labelled: DataFrame, base: str) -> DataFrame:
     me.withColumn("first", F.min("me").over(Window.partitionBy("h"))).where("first < me").select("me.k").distinct().write.parquet(f"{base}/gone")
     gone = spark.read.parquet(f"{base}/gone")
     # Rows whose bit isn't set stay where they are; only the others, the copies and a few more, are shuffled.
-    hit = _listed(gone.union(marks.groupBy("k").count().where("count > 1").select("k")))(F.col("k"))
+    hit = neardup.listed(gone.union(marks.groupBy("k").count().where("count > 1").select("k")))(F.col("k"))
     return labelled.where(~hit).unionByName(labelled.where(hit).join(gone, "k", "left_anti").dropDuplicates(["k"]))
 
 
@@ -398,7 +385,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, epochs: int
     lab = labels.select(F.col(id_col).cast("long").alias("i"), F.col(label_col).cast("int").alias("y")).where("y in (0, 1) and i is not null").distinct()
     text = docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("t")).where("t is not null and i is not null")
     # Of the texts only the labelled ones and a few more are shuffled.
-    some = text.where(_listed(lab.select(F.xxhash64("i").alias("k")))(F.xxhash64("i")))
+    some = text.where(neardup.listed(lab.select(F.xxhash64("i").alias("k")))(F.xxhash64("i")))
     # The same join at every size: labels grow with the documents, so they aren't broadcast.
     some.join(lab.hint("merge"), "i").select(F.xxhash64("i", "y", "t").alias("k"), "i", "y", "t").write.parquet(f"{base}/labelled")
     kept = distinct_rows(docs.sparkSession.read.parquet(f"{base}/labelled"), base)
