@@ -12,24 +12,29 @@ from changeloom.llm.common import table, work_dir
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document and benchmark item of which it holds at least half. Nulls, short items, ties, repeats: see `decontaminate.contaminated`."""
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's score and class, by a model of the labels. Texts without a token are bad; the rest: see `quality.score`."""
     docs = table(spark, sf_dir, "documents")
     return quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
 
 
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's piece ids and byte spans. A null text has null ids; the rest: see `sentencepieces.encode`."""
     return sentencepieces.encode(table(spark, sf_dir, "documents"))
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's score and toxic byte spans. Null and empty texts score 0; the rest: see `toxicity.score`."""
     docs = table(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's shard; copies share one. Null and empty texts, ties and repeats: see `sharding.shard_documents`."""
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
 
@@ -52,6 +57,7 @@ WHERE rank <= 10
 
 
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's family and language. Texts without letters are "und"; the rest: see `language.identify`."""
     docs = table(spark, sf_dir, "documents")
     return language.identify(docs, language.fit(docs))
 
@@ -81,6 +87,7 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document that copies or nearly copies another, and the one that stays. Nulls, ties, repeats: see `neardup.near_duplicates`."""
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
