@@ -11,27 +11,42 @@ from changeloom.llm.common import table, work_dir
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the documents whose language is identified and isn't confidently another one than they declare."""
+    """Keeps the documents whose language is identified and isn't confidently another one than they declare.
+
+    Null and empty texts and texts without letters go; a null declared language is accepted. Repeated rows fare alike, and all columns stay. No row: none.
+    """
     return language.keep_identified(docs, language.fit(docs))
 
 
 def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the documents that the classifier calls good."""
+    """Keeps the documents that the classifier calls good.
+
+    Null, empty and blank texts go, and a score of exactly 0 goes. Repeated rows fare alike, and all columns stay. No label: all texts with a token are kept.
+    """
     return quality.keep_good(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of copies and near copies."""
+    """Keeps one document of each group of copies and near copies.
+
+    The least doc_id stays, a null one before others; of repeated rows one stays. Null and empty texts are in no group and stay. All columns stay.
+    """
     return neardup.keep_one(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the documents that don't hold a benchmark item."""
+    """Keeps the documents that don't hold a benchmark item.
+
+    Null and empty texts hold none and stay, null items match nothing. Repeated rows fare alike, and all columns stay. No benchmark: all are kept.
+    """
     return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Piece ids and byte spans of each document."""
+    """Piece ids and byte spans of each document.
+
+    A null text has null ids and spans, an empty one empty ones. Repeated rows are encoded alike; other columns than doc_id and text go. No row: none.
+    """
     return sentencepieces.encode(docs)
 
 
