@@ -91,11 +91,15 @@ def merge_commit(metadata_json: str | None, activities_json: str | None) -> str
 def closest_solution(changed: DataFrame, solutions: DataFrame) -> DataFrame:
     """(repo_id, path) of the solution file that most changed paths lie under: each path votes for the nearest folder above it that has one.
 
-    Ties go to the deeper, then to the name that sorts first. changed, solutions: (repo_id, path).
+    Ties go to the deeper, then to the name that sorts first. changed, solutions: (repo_id, path). A repeated path votes once.
+    Paths are counted by folder before the folders are looked up, so what is exploded, joined and sorted is the folders, not the paths.
     """
-    up = changed.select("repo_id", "path", F.posexplode(P.ancestors(F.col("path"))).alias("away", "dir"))
-    sln = solutions.select("repo_id", F.col("path").alias("sln"), P.directory(F.col("path")).alias("dir"))
-    first = up.join(sln, ["repo_id", "dir"]).groupBy("repo_id", "path").agg(F.min(F.struct("away", "sln")).alias("m"))
-    votes = first.groupBy("repo_id", F.col("m.sln").alias("sln")).agg(F.count("*").alias("n"))
+    parts = F.split(P.normal(F.col("path")), "/")
+    folders = changed.select("repo_id", "path").distinct().groupBy("repo_id", F.array_join(F.slice(parts, 1, F.size(parts) - 1), "/").alias("of")).agg(F.count("*").alias("n"))
+    above = P.ancestors(F.concat("of", F.lit("/")))
+    sln = solutions.groupBy("repo_id", P.directory(F.col("path")).alias("dir")).agg(F.min("path").alias("sln"))
+    up = folders.select("repo_id", "of", "n", F.posexplode(above).alias("away", "dir"))
+    near = up.join(sln.select("repo_id", "dir"), ["repo_id", "dir"]).groupBy("repo_id", "of", "n").agg(F.min("away").alias("away"))
+    votes = near.groupBy("repo_id", F.get(above, F.col("away")).alias("dir")).agg(F.sum("n").alias("n")).join(sln, ["repo_id", "dir"])
     depth = F.size(F.split("sln", "/"))
     return votes.groupBy("repo_id").agg(F.min(F.struct((-F.col("n")).alias("n"), (-depth).alias("d"), F.upper("sln").alias("u"), "sln")).alias("m")).select("repo_id", F.col("m.sln").alias("path"))
